@@ -18,15 +18,17 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import unicodedata
 from functools import lru_cache
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tesserae.llm.common import map_batches, only
 
 #: Words whose counts a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: White space to Python's ``split`` but not to the vocabulary's pattern.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -56,6 +58,26 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return n - merges
 
 
+def byte_symbols() -> str:
+    """The byte-level alphabet: symbol i stands for byte i; printable bytes stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(i if i in own else next(rest)) for i in range(256))
+
+
+class PieceCounter(dict):
+    """Pre-tokenised piece -> its number of tokens."""
+
+    def __init__(self, ranks: dict[tuple[str, str], int], ending: str):
+        self.ranks, self.ending = ranks, ending
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[piece] = n = merge_count([*piece[:-1], piece[-1] + self.ending], self.ranks)
+        return n
+
+
 class WordCounter(dict):
     """Word without white space -> its number of tokens."""
 
@@ -66,24 +88,46 @@ class WordCounter(dict):
             spec = json.load(f)
         model = spec["model"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {tuple(p): i for i, p in enumerate(pairs)}
-        self.ending = model.get("end_of_word_suffix") or ""
+        ranks = {tuple(p): i for i, p in enumerate(pairs)}
+        self.symbols = PieceCounter(ranks, model.get("end_of_word_suffix") or "")
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.hints = sorted({t[:2] for t in added})
+        self.find = self._finder(spec)
+        self.alphabet = byte_symbols()
+
+    @staticmethod
+    def _finder(spec: dict):
+        """The pattern that cuts words, where the file asks for NFC, lower case, that pattern and the byte alphabet."""
+        made = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if made != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+            return None
+        if cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["add_prefix_space"]:
+            return None
+        return regex.compile(cuts[0]["pattern"]["Regex"]).findall
 
     def pieces(self, text: str) -> list[str]:
+        """By the library; words of Latin letters, whose tables never differ, by its pattern alone."""
+        if self.find and text.isascii():
+            return self.find(text.lower())
+        if self.find and max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            return [p.encode().decode("latin-1").translate(self.alphabet) for p in self.find(text.lower())]
         made = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(made)]
 
     def plain(self, text: str) -> int:
-        return sum(merge_count([*p[:-1], p[-1] + self.ending], self.ranks) for p in self.pieces(text) if p)
+        return sum(map(self.symbols.__getitem__, self.pieces(text))) if text else 0
 
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = n = self.plain(word)
+        if word.isascii() and word.isalpha():
+            n = self.symbols[word.lower()] if self.find else self.plain(word)
+        else:
+            n = self.plain(word)
+        self[word] = n
         return n
 
     def count(self, text: str) -> int:
