@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import packing, token_count, url_filter
+from tesserae.llm import html_extract, packing, token_count, topk_search, url_filter
 from tesserae.llm.common import table
 
 
@@ -14,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -26,5 +31,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_counts, op7_url_filter)}
-ORACLES = {"op7_url_filter": url_filter.oracle()}
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op5_packing, op6_token_counts, op7_url_filter, op9_topk_search)}
+ORACLES = {"op7_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.oracle()}
