@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_extract, packing, token_count, topk_search, url_filter
+from tesserae.llm import html_extract, packing, quality, token_count, topk_search, url_filter
 from tesserae.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents")).drop("votes")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -35,5 +39,5 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op5_packing, op6_token_counts, op7_url_filter, op9_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op4_quality_rules, op5_packing, op6_token_counts, op7_url_filter, op9_topk_search)}
 ORACLES = {"op7_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.oracle()}
