@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import checkpointed, map_batches, only
+from tesserae.llm.token_count import Cutter
 
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 500_000
@@ -37,22 +39,35 @@ BUCKETS = 1024
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+class PieceIds(dict):
+    """Pre-tokenised piece -> its ids as little-endian unsigned 32-bit integers, by the library's model."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[piece] = ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return ids
+
+
 class WordIds(dict):
-    """Word without white space -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library."""
+    """Word without white space -> its ids, by the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.cutter = Cutter(path)
+        self.tokenizer = self.cutter.tokenizer
+        self.of_piece = PieceIds(self.tokenizer.model)
         self.hints = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = ids = self.whole(word)
+        self[word] = ids = b"".join(map(self.of_piece.__getitem__, self.cutter.pieces(word)))
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -72,7 +87,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, doc_id: s
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        words, end = word_ids(path), np.asarray([end_id], dtype="<u4").tobytes()
+        words, end = word_ids(path), array("I", [end_id]).tobytes()
         for b in batches:
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             for key, t in zip(b[doc_id], b[text], strict=True):

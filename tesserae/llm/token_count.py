@@ -78,23 +78,16 @@ class PieceCounter(dict):
         return n
 
 
-class WordCounter(dict):
-    """Word without white space -> its number of tokens."""
+class Cutter:
+    """Normalises and cuts texts into byte-level pieces, as a vocabulary file states."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        ranks = {tuple(p): i for i, p in enumerate(pairs)}
-        self.symbols = PieceCounter(ranks, model.get("end_of_word_suffix") or "")
+            self.spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.hints = sorted({t[:2] for t in added})
-        self.find = self._finder(spec)
+        self.find = self._finder(self.spec)
         self.alphabet = byte_symbols()
 
     @staticmethod
@@ -111,23 +104,33 @@ class WordCounter(dict):
     def pieces(self, text: str) -> list[str]:
         """By the library; words of Latin letters, whose tables never differ, by its pattern alone."""
         if self.find and text.isascii():
-            return self.find(text.lower())
+            return [text.lower()] if text.isalpha() else self.find(text.lower())
         if self.find and max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
             return [p.encode().decode("latin-1").translate(self.alphabet) for p in self.find(text.lower())]
         made = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(made)]
 
+
+class WordCounter(dict):
+    """Word without white space -> its number of tokens."""
+
+    def __init__(self, path: str):
+        self.cutter = Cutter(path)
+        model = self.cutter.spec["model"]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        ranks = {tuple(p): i for i, p in enumerate(pairs)}
+        self.symbols = PieceCounter(ranks, model.get("end_of_word_suffix") or "")
+        added = sorted((t["content"] for t in self.cutter.spec.get("added_tokens", [])), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.hints = sorted({t[:2] for t in added})
+
     def plain(self, text: str) -> int:
-        return sum(map(self.symbols.__getitem__, self.pieces(text))) if text else 0
+        return sum(map(self.symbols.__getitem__, self.cutter.pieces(text))) if text else 0
 
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        if word.isascii() and word.isalpha():
-            n = self.symbols[word.lower()] if self.find else self.plain(word)
-        else:
-            n = self.plain(word)
-        self[word] = n
+        self[word] = n = self.plain(word)
         return n
 
     def count(self, text: str) -> int:
