@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_extract, packing, quality, token_count, topk_search, url_filter
+from tesserae.llm import html_extract, packing, quality, token_count, topk_search, toxicity, url_filter
 from tesserae.llm.common import table
 
 
@@ -39,5 +39,10 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op4_quality_rules, op5_packing, op6_token_counts, op7_url_filter, op9_topk_search)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.judge_toxicity(docs, labels).drop("categories")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op4_quality_rules, op5_packing, op6_token_counts, op7_url_filter, op9_topk_search, op10_toxicity)}
 ORACLES = {"op7_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.oracle()}
