@@ -447,7 +447,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def span_digests(found: DataFrame) -> DataFrame:
     """The fixed digest columns, from what ``find_personal_data`` returns."""
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
