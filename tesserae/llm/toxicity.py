@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import BATCH_ROWS, map_batches, only
 
 #: Labelled documents that the models are fitted on at most, and features that are kept of them.
-SAMPLE, MAX_FEATURES = 6000, 1500
+SAMPLE, MAX_FEATURES = 5000, 1500
 #: Labelled documents that must hold a feature.
 MIN_DOCUMENTS = 8
 #: Hashed feature space, and words whose scores a worker remembers.
 DIMS, REMEMBERED = 1 << 20, 300_000
 #: Lengths of a word's first characters that are features.
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6)
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 FOLDS = 3
 
@@ -151,7 +151,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def sampled_features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, toxic: str, sample: int):
-    """doc_id, lang, toxic, hashed features and their shares of the sampled labelled documents."""
+    """doc_id, lang, toxic, hashed features and their shares (packed) of the sampled labelled documents."""
     chosen = (
         labels.where(labels[doc_id].isNotNull() & labels[toxic].isNotNull())
         .groupBy(labels[doc_id].alias("_id"))
@@ -169,17 +169,17 @@ def sampled_features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
                 words = (t or "").split()
                 f = np.asarray([h for w in words for h in word_features(w)], dtype=np.int64)
                 keys, n = np.unique(f, return_counts=True)
-                out["features"].append(keys.tolist())
-                out["shares"].append((n / max(1, len(words))).astype(np.float32).tolist())
+                out["features"].append(keys.astype("<i4").tobytes())
+                out["shares"].append((n / max(1, len(words))).astype("<f4").tobytes())
             yield out
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_batches(joined, run, f"id {kind}, lang string, toxic int, features array<int>, shares array<float>")
+    return map_batches(joined, run, f"id {kind}, lang string, toxic int, features binary, shares binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang="lang", toxic="toxic", sample: int = SAMPLE) -> Chain | None:
     """The chain: toxic in each language that has toxic labels, commonest first, then toxic at all."""
-    rows = sampled_features(docs, labels, doc_id, text, lang, toxic, sample).toPandas()
+    rows = sampled_features(docs, labels, doc_id, text, lang, toxic, sample).toArrow().to_pandas()
     return fit_rows(rows.sort_values("id", kind="stable", ignore_index=True)) if len(rows) else None
 
 
@@ -195,21 +195,21 @@ def associated(column: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray
 
 
 def fit_rows(rows) -> Chain | None:
-    """The chain from a pandas frame of id, lang, toxic, features and shares."""
+    """The chain from a pandas frame of id, lang, toxic, and packed features and shares."""
     toxic = rows["toxic"].to_numpy().astype(float)
     if toxic.min() == toxic.max():
         return None
     langs = rows["lang"][toxic > 0].dropna().value_counts()
     order = sorted(langs.index, key=lambda k: (-langs[k], k))
     y = np.stack([*[(toxic > 0) & (rows["lang"] == k).to_numpy() for k in order], toxic > 0], axis=1).astype(float)
-    column = np.concatenate([np.asarray(f, dtype=np.int64) for f in rows["features"]])
-    value = np.concatenate([np.asarray(s, dtype=np.float64) for s in rows["shares"]])
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in rows["features"]])
+    column = np.frombuffer(b"".join(rows["features"]), dtype="<i4")
+    value = np.frombuffer(b"".join(rows["shares"]), dtype="<f4")
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) // 4 for f in rows["features"]])
     features = associated(column, row, toxic)
     place = np.full(DIMS, -1, dtype=np.int64)
     place[features] = np.arange(len(features))
     keep = place[column] >= 0
-    row, column, value = row[keep], place[column[keep]], value[keep]
+    row, column, value = row[keep], place[column[keep]], value[keep].astype(np.float64)
     n = np.maximum(1, np.bincount(column, minlength=len(features)))
     scale = np.sqrt(np.bincount(column, weights=value**2, minlength=len(features)) / n)
     x = Sparse(np.searchsorted(row, np.arange(len(rows) + 1)), column, value / scale[column])
