@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_extract, packing, pii, quality, token_count, topk_search, toxicity, url_filter
+from tesserae.llm import html_extract, near_dedup, packing, pii, quality, token_count, topk_search, toxicity, url_filter
 from tesserae.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -48,5 +52,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(docs, labels).drop("categories")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_pii, op4_quality_rules, op5_packing, op6_token_counts, op7_url_filter, op9_topk_search, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_near_dedup, op3_pii, op4_quality_rules, op5_packing, op6_token_counts, op7_url_filter, op9_topk_search, op10_toxicity)}
 ORACLES = {"op7_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.oracle()}
