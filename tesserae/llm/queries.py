@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_extract, near_dedup, packing, pii, quality, token_count, topk_search, toxicity, url_filter
+from tesserae.llm import html_extract, near_dedup, packing, pii, quality, sentencepiece_codec, token_count, topk_search, toxicity, url_filter
 from tesserae.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -52,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(docs, labels).drop("categories")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_near_dedup, op3_pii, op4_quality_rules, op5_packing, op6_token_counts, op7_url_filter, op9_topk_search, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_near_dedup, op3_pii, op4_quality_rules, op5_packing, op6_token_counts, op7_url_filter, op8_sentencepiece, op9_topk_search, op10_toxicity)}
 ORACLES = {"op7_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.oracle()}
