@@ -42,10 +42,15 @@ def prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keep])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The cluster's shared folder for checkpoints; one of our own where none is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cuts-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
