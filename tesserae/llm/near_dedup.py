@@ -9,8 +9,9 @@
    miss probability. Each node's best survivor is verified on the full sets of both texts.
 3. Verified links give components. In buckets that hold more than one component, every pair of nodes from different
    components is compared in the same way, so no candidate is left out; nodes of a bucket's largest component are
-   never compared with each other. Large buckets are dealt out as blocks of bounded size. Survivors are verified on
-   the full sets.
+   never compared with each other, and a pair is looked at in the first band it shares. Large buckets are dealt out as
+   blocks of bounded size. Survivors are verified on the full sets, best matches first; pairs whose components a block
+   has joined by then need no test, and only links that join components leave the block, not pairs.
 4. Components come from repeated hooking to the smallest neighbour and pointer jumping, on checkpointed tables.
 
 A pair at the threshold shares no band with probability (1 - t^rows)^bands, 5e-6 by default, and is dropped by the
@@ -24,6 +25,7 @@ result; texts are read whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +42,7 @@ BATCH = 32
 #: Posterior probability under which a pair is dropped.
 MISS = 1e-5
 #: Nodes of a bucket that meet as one block.
-BLOCK = 512
+BLOCK = 256
 REMEMBERED = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,15 +188,71 @@ def stars(buckets: DataFrame, nodes: DataFrame, percent: int, miss: float) -> Da
     return best.select("a", (-F.col("best.less")).alias("b"))
 
 
-def across(buckets: DataFrame, nodes: DataFrame, component: DataFrame, percent: int, miss: float) -> DataFrame:
-    """a < b: surviving pairs of nodes that share a bucket and lie in different components.
+def candidates(group: list[tuple], percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Surviving pairs of a block (positions, and matches): minor nodes against all others of another component.
 
-    ``component``: id, component of the nodes that have a link; others are their own component.
+    A row: band, id, component, n, signature, minor. A pair is looked at in the first band that it shares only.
+    """
+    part = np.asarray([g[2] for g in group], dtype=np.int64)
+    n = np.asarray([g[3] for g in group], dtype=np.int64)
+    minor = np.asarray([g[5] for g in group], dtype=bool)
+    a, b = np.flatnonzero(minor), np.flatnonzero(~minor)
+    x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+    ok = (part[x] != part[y]) & sizes_fit(n[x], n[y], percent)
+    x, y = x[ok], y[ok]
+    if not len(x):
+        return x, y, x
+    s = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), -1)
+    out = []
+    for at in range(0, len(x), 50_000):
+        u, v = x[at : at + 50_000], y[at : at + 50_000]
+        same = (s[u] == s[v]).reshape(len(u), BANDS, ROWS).all(axis=2)
+        mine = same.argmax(axis=1) == group[0][0]
+        u, v = u[mine], v[mine]
+        alive, matches = surviving(s[u], s[v], percent / 100, miss)
+        out.append((u[alive], v[alive], matches))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def linked_once(group: list[tuple], percent: int, miss: float, sets: Callable[[str], np.ndarray]) -> list[tuple[int, int]]:
+    """Exact links between components of a block, best matches first; what a link has joined is not tested again.
+
+    A row is one of ``candidates`` and the text.
+    """
+    x, y, matches = candidates(group, percent, miss)
+    root = {g[2]: g[2] for g in group}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    known: dict[int, np.ndarray] = {}
+    links = []
+    for k in np.argsort(-matches, kind="stable"):
+        i, j = int(x[k]), int(y[k])
+        c, d = find(group[i][2]), find(group[j][2])
+        if c == d:
+            continue
+        for e in (i, j):
+            if e not in known:
+                known[e] = sets(group[e][6])
+        if similar(known[i], known[j], percent):
+            root[max(c, d)] = min(c, d)
+            links.append((group[i][1], group[j][1]))
+    return links
+
+
+def across(buckets: DataFrame, nodes: DataFrame, component: DataFrame, texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """a, b: exact links between nodes that share a bucket and lie in different components, enough to join them.
+
+    ``component``: id, component of the nodes that have a link; others are their own component. ``texts``: id, text.
+    Signatures meet first; the texts of the nodes that have a surviving partner are then sent to the same blocks.
     """
     members = (
-        buckets.select("key", "id")
+        buckets.select("key", "band", "id")
         .join(component, "id", "left")
-        .select("key", "id", F.coalesce("component", "id").alias("component"))
+        .select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     )
     by_part = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     open_ = (
@@ -211,67 +269,64 @@ def across(buckets: DataFrame, nodes: DataFrame, component: DataFrame, percent:
     rows = members.join(open_, "key").join(nodes.select("id", "n", "signature"), "id")
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
-    kept = ["key", "id", "component", "n", "signature"]
+    kept = ["key", "band", "id", "component", "n", "signature"]
     right = rows.select(*kept, F.lit(False).alias("minor"), F.explode(numbers("minor_blocks")).alias("i"), block("blocks").alias("j"))
     left = rows.where(F.col("component") != F.col("major")).select(
         *kept, F.lit(True).alias("minor"), block("minor_blocks").alias("i"), F.explode(numbers("blocks")).alias("j")
     )
-    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "minor", "id")
-
-    def meet(group: list[tuple]):
-        """Surviving pairs of one block: its minor nodes against all others of another component."""
-        ids = np.asarray([g[0] for g in group], dtype=np.int64)
-        part = np.asarray([g[1] for g in group], dtype=np.int64)
-        n = np.asarray([g[2] for g in group], dtype=np.int64)
-        minor = np.asarray([g[4] for g in group], dtype=bool)
-        a, b = np.flatnonzero(minor), np.flatnonzero(~minor)
-        if not len(a) or not len(b):
-            return [], []
-        x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-        ok = (part[x] != part[y]) & sizes_fit(n[x], n[y], percent)
-        x, y = x[ok], y[ok]
-        if not len(x):
-            return [], []
-        s = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1)
-        lows, highs = [], []
-        for at in range(0, len(x), 50_000):
-            u, v = x[at : at + 50_000], y[at : at + 50_000]
-            alive, _ = surviving(s[u], s[v], percent / 100, miss)
-            lows.append(np.minimum(ids[u[alive]], ids[v[alive]]))
-            highs.append(np.maximum(ids[u[alive]], ids[v[alive]]))
-        return np.concatenate(lows), np.concatenate(highs)
+    place = ["key", "i", "j"]
+    held = ["band", "id", "component", "n", "signature", "minor"]
+    dealt = left.unionByName(right).repartition(*place).sortWithinPartitions(*place, "minor", "id")
 
-    def run(batches):
+    def groups(batches, names):
+        """(place, rows) of each block, in order."""
         now, group = None, []
-        out_a, out_b = [], []
         for b in batches:
-            for at, name in enumerate(zip(b["key"], b["i"], b["j"], strict=True)):
-                if name != now:
+            for where, row in zip(zip(*(b[k] for k in place), strict=True), zip(*(b[k] for k in names), strict=True), strict=True):
+                if where != now:
                     if len(group) > 1:
-                        low, high = meet(group)
-                        out_a.extend(low)
-                        out_b.extend(high)
-                    now, group = name, []
-                group.append((b["id"][at], b["component"][at], b["n"][at], b["signature"][at], b["minor"][at]))
-            if out_a:
-                yield {"a": out_a, "b": out_b}
-                out_a, out_b = [], []
+                        yield now, group
+                    now, group = where, []
+                group.append(row)
         if len(group) > 1:
-            low, high = meet(group)
-            out_a.extend(low)
-            out_b.extend(high)
-        if out_a:
-            yield {"a": out_a, "b": out_b}
+            yield now, group
+
+    def meet(batches):
+        out: dict[str, list] = {k: [] for k in (*place, *held)}
+        for where, group in groups(batches, held):
+            x, y, _ = candidates(group, percent, miss)
+            for at in np.unique(np.concatenate([x, y])):
+                for k, v in zip(out, (*where, *group[at]), strict=True):
+                    out[k].append(v)
+            if len(out["key"]) > 2000:
+                yield out
+                out = {k: [] for k in out}
+        yield out
+
+    kinds = "key bigint, i int, j int, band int, id bigint, component bigint, n bigint, signature binary, minor boolean"
+    involved = map_batches(dealt.select(*place, *held), meet, kinds, batch_rows=5000)
+    whole = involved.join(texts, "id").repartition(*place).sortWithinPartitions(*place, "minor", "id")
+
+    def confirm(batches):
+        words = WordHashes()
+        for _, group in groups(batches, (*held, "text")):
+            if links := linked_once(group, percent, miss, lambda t: shingles(t, words, width)):
+                yield {"a": [a for a, _ in links], "b": [b for _, b in links]}
+
+    return map_batches(whole.select(*place, *held, "text"), confirm, "a bigint, b bigint", batch_rows=200)
+
 
-    return map_batches(dealt, run, "a bigint, b bigint", batch_rows=5000).distinct()
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The exact condition on two sets of shingle hashes."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """a, b, linked: the exact test on the full sets of both texts."""
-    whole = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].alias("text"))
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b, linked: the exact test on the full sets of both texts (id, text)."""
     met = (
-        pairs.join(whole.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
-        .join(whole.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
+        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
         .select("a", "b", "t_a", "t_b")
     )
 
@@ -284,9 +339,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: i
                 if t_b not in known:  # pairs of one smallest node come one after another
                     known = {t_b: shingles(t_b, words, width)}
                 y = known[t_b]
-                x = shingles(t_a, words, width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                linked.append(similar(shingles(t_a, words, width), y, percent))
             yield {"a": b["a"], "b": b["b"], "linked": linked}
 
     return map_batches(met, run, "a bigint, b bigint, linked boolean", batch_rows=200)
@@ -337,19 +390,16 @@ def near_duplicates(
         .agg(F.min(F.struct(ids.alias("id"), F.col("n_shingles").alias("n"), "signature", "bands")).alias("x"))
         .select("digest", "x.*")
     )
-    keys = nodes.select("id", F.explode("bands").alias("key"))
+    texts = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].alias("text"))
+    keys = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where(F.col("n") > 1)
     buckets = checkpointed(keys.join(shared.select("key", "hub"), "key"))
-    first = checkpointed(verified(stars(buckets, nodes, percent, miss), docs, doc_id, text, width, percent))
-    links = first.where("linked").select("a", "b")
+    first = verified(stars(buckets, nodes, percent, miss), texts, width, percent)
+    links = checkpointed(first.where("linked").select("a", "b"))
     component = components(links)
-    more = across(buckets, nodes, component, percent, miss)
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = checkpointed(more.join(tested, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        second = checkpointed(verified(rest, docs, doc_id, text, width, percent).where("linked").select("a", "b"))
-        if not second.isEmpty():
-            component = components(links.union(second))
+    more = checkpointed(across(buckets, nodes, component, texts, width, percent, miss))
+    if not more.isEmpty():
+        component = components(links.union(more))
     of_set = (
         nodes.select("digest", "id")
         .join(component, "id", "left")
