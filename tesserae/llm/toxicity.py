@@ -32,7 +32,7 @@ from tesserae.llm.common import BATCH_ROWS, map_batches, only
 #: Labelled documents that the models are fitted on at most, and features that are kept of them.
 SAMPLE, MAX_FEATURES = 5000, 1500
 #: Labelled documents that must hold a feature.
-MIN_DOCUMENTS = 8
+MIN_DOCUMENTS = 2
 #: Hashed feature space, and words whose scores a worker remembers.
 DIMS, REMEMBERED = 1 << 20, 300_000
 #: Lengths of a word's first characters that are features.
@@ -83,7 +83,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, dims: int, rounds: int = 60, rate: float = 0.1, decay: float = 3e-4) -> Linear:
+def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, dims: int, rounds: int = 60, rate: float = 0.05, decay: float = 1e-3) -> Linear:
     """Full-batch Adam from zero, rare classes weighted up by the square root of their odds."""
     n, row = len(y), x.row
     up = np.sqrt(max(1.0, (n - y.sum()) / max(1.0, y.sum())))
@@ -187,6 +187,15 @@ def associated(column: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray
     return np.sort(best[chi[best] > 0])
 
 
+def log_ratios(column: np.ndarray, row: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Naive-Bayes log ratio of each feature's share of toxic to its share of other documents, half a document added.
+
+    Features are scaled by it, so that few rounds on a few hundred labels already rest on those that tell.
+    """
+    df1, df = np.bincount(column, weights=y[row], minlength=n), np.bincount(column, minlength=n)
+    return np.log((df1 + 0.5) / (y.sum() + 1)) - np.log((df - df1 + 0.5) / (len(y) - y.sum() + 1))
+
+
 def fit_rows(rows) -> Chain | None:
     """The chain from a pandas frame of id, lang, toxic, and packed features and shares."""
     toxic = rows["toxic"].to_numpy().astype(float)
@@ -205,6 +214,7 @@ def fit_rows(rows) -> Chain | None:
     row, column, value = row[keep], place[column[keep]], value[keep].astype(np.float64)
     n = np.maximum(1, np.bincount(column, minlength=len(features)))
     scale = np.sqrt(np.bincount(column, weights=value**2, minlength=len(features)) / n)
+    scale = 2 * scale / np.maximum(np.abs(log_ratios(column, row, toxic, len(features))), 1e-3)
     x = Sparse(np.searchsorted(row, np.arange(len(rows) + 1)), column, value / scale[column])
     chain = fit_chain(x, y, (*(f"toxic_{k}" for k in order), "toxic"), features)
     for m in chain.models:
