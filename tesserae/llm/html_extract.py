@@ -186,10 +186,12 @@ def in_order(root: Node) -> list[Node]:
 
 
 def mark_noise(nodes: list[Node]) -> None:
-    holds = set()  # nodes with an article, main or h1 inside
+    holds, frames = set(), set()  # nodes with an article, main or h1 inside; nodes with an article or main inside
     for x in reversed(nodes):
         if x.parent is not None and (x.tag in ("article", "main", "h1") or id(x) in holds):
             holds.add(id(x.parent))
+        if x.parent is not None and (x.tag in ("article", "main") or id(x) in frames):
+            frames.add(id(x.parent))
     article = set()
     for x in nodes:
         inside = x.parent is not None and id(x.parent) in article
@@ -202,7 +204,7 @@ def mark_noise(nodes: list[Node]) -> None:
         if x.tag == "article":
             x.noise = x.hidden or any(w.startswith("comment") for w in x.words)
         elif x.tag == "header":
-            x.noise = not inside and id(x) not in holds or x.hidden
+            x.noise = not inside and id(x) not in frames or x.hidden
         elif x.tag in ("main", "h1"):
             x.noise = x.hidden
         else:

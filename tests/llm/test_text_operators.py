@@ -162,6 +162,7 @@ def test_main_text():
     assert f(page) == "Title & more\n\nOne two three four\n\nFive\n\na\n\nb"
     bare = "<div class=menu>m m m</div><div><h2>Head</h2><div><p>Some text of the page.</p><p>And some more of it.</p></div></div>"
     assert f(bare) == "Head\n\nSome text of the page.\n\nAnd some more of it."
+    assert f("<header><h1>Site</h1></header><div><p>The text of a page.</p><p>And its end.</p></div>") == "The text of a page.\n\nAnd its end."
     assert f("<div>" * 20000 + "deep") == "deep" and f("<" * 2000 + " a").endswith("< a")
     assert f("<p>x</p>" * 3000) == "\n\n".join("x" * 3000)
 
