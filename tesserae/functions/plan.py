@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,20 @@ def prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keep])
 
 
+def global_index(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The distinct values of a column numbered 0, 1, ... in order, without one task for all of them.
+
+    Values are dealt by range and numbered within their part; parts start where the counts of those before end.
+    """
+    dealt = df.select(column).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id())
+    fixed = cut(dealt)  # the parts must not change between the two uses
+    counts = fixed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each part
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return fixed.withColumn("_at", place).join(F.broadcast(starts), "_part").select(column, (F.col("_at") + F.col("_start")).alias(out))
+
+
 def shared_folder(spark) -> str:
     """The cluster's shared folder for checkpoints; one of our own where none is set."""
     context = spark.sparkContext

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.plan import global_index
+
 
 def label_vote(votes: DataFrame) -> DataFrame:
     """node, prompt, total: the prompt with the highest summed score, ties to the smaller prompt."""
@@ -31,10 +33,8 @@ def mode(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def renumber(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """Ids numbered 0, 1, ... in order. Only distinct ids are ordered."""
-    ids = rows.select(column).distinct()
-    order = ids.withColumn(out, F.dense_rank().over(Window.orderBy(column)) - 1)
-    return rows.join(order, column)
+    """Ids numbered 0, 1, ... in order."""
+    return rows.join(global_index(rows, column, out), column)
 
 
 def offset_clips(tracks: DataFrame) -> DataFrame:

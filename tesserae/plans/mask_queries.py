@@ -142,7 +142,7 @@ def clip_offset(spark, sf_dir):
 
 
 @register("""SELECT s_suppkey AS mask, s_suppkey * 7 % 90 AS node,
-CAST(dense_rank() OVER (ORDER BY s_suppkey * 7 % 90) - 1 AS INTEGER) AS number FROM supplier""")
+CAST(dense_rank() OVER (ORDER BY s_suppkey * 7 % 90) - 1 AS BIGINT) AS number FROM supplier""")
 def dense_renumber(spark, sf_dir):
     rows = scene.read(spark, sf_dir, "supplier")
     rows = rows.select(F.col("s_suppkey").alias("mask"), (F.col("s_suppkey") * 7 % 90).alias("node"))
