@@ -419,3 +419,23 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **name
     kept = checkpointed(judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")))
     whole = docs.join(kept.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
     return whole if kept.where("rows > 1").isEmpty() else whole.dropDuplicates([doc_id])
+
+
+def oracle(width: int = 5, percent: int = 75) -> str:
+    """DuckDB SQL over ``documents``: exact similarity of all pairs that share a shingle, and what is reachable."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {width} THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - {width - 2}), lambda i: array_to_string(words[i:i + {width - 1}], ' ')) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.both >= {percent} * (x.n + y.n - p.both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""

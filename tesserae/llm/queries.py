@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_extract, near_dedup, packing, pii, quality, sentencepiece_codec, token_count, topk_search, toxicity, url_filter
+from tesserae.llm import (
+    html_extract,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    sentencepiece_codec,
+    token_count,
+    topk_search,
+    toxicity,
+    url_filter,
+)
 from tesserae.llm.common import table
 
 
@@ -56,5 +67,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(docs, labels).drop("categories")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_near_dedup, op3_pii, op4_quality_rules, op5_packing, op6_token_counts, op7_url_filter, op8_sentencepiece, op9_topk_search, op10_toxicity)}
-ORACLES = {"op7_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.oracle()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extract,
+        op2_near_dedup,
+        op3_pii,
+        op4_quality_rules,
+        op5_packing,
+        op6_token_counts,
+        op7_url_filter,
+        op8_sentencepiece,
+        op9_topk_search,
+        op10_toxicity,
+    )
+}
+ORACLES = {
+    "op2_near_dedup": near_dedup.oracle(),
+    "op7_url_filter": url_filter.oracle(),
+    "op9_topk_search": topk_search.oracle(),
+}
