@@ -287,7 +287,8 @@ def across(buckets: DataFrame, nodes: DataFrame, component: DataFrame, texts: Da
                     if len(group) > 1:
                         yield now, group
                     now, group = where, []
-                group.append(row)
+                if not group or row != group[-1]:  # a repeated row of one id comes right after the first
+                    group.append(row)
         if len(group) > 1:
             yield now, group
 

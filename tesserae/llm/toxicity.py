@@ -154,6 +154,11 @@ def sampled_features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     )
     texts = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"), docs[lang].cast("string").alias("_lang"))
     joined = texts.join(F.broadcast(chosen), "_id")  # ``sample`` rows of two numbers at most
+    joined = (  # a document for each id, however often it is repeated
+        joined.groupBy("_id")
+        .agg(F.min(F.struct("_text", "_lang")).alias("d"), F.max("toxic").alias("toxic"))
+        .select("_id", "d.*", "toxic")
+    )
 
     def run(batches):
         for b in batches:
