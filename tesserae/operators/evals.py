@@ -7,6 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import box
+from tesserae.functions.plan import prefixed
+
+BOX = ("lx", "ly", "lz", "hx", "hy", "hz")
+
 
 def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     """Row, column pairs of a one-to-one assignment with the largest total weight (shortest augmenting paths)."""
@@ -102,3 +107,49 @@ def report(results: DataFrame) -> DataFrame:
     """method, runs, mean of every score over runs, unknown ones left out."""
     scores = [c for c in results.columns if c not in ("method", "run")]
     return results.groupBy("method").agg(F.count("*").alias("runs"), *[F.avg(F.nanvl(c, F.lit(None))).alias(c) for c in scores])
+
+
+def _first(pairs: DataFrame, by: list[str], out: str) -> DataFrame:
+    """by and the id of the nearest candidate: hundredths of the gap, then centre distance, then id."""
+    best = F.min(F.struct(F.rint(F.round(F.col("gap") * 100, 3)).alias("g"), F.col("away").alias("c"), F.col("id").alias("id")))
+    return pairs.groupBy(*by).agg(best["id"].alias(out))
+
+
+def nearest_objects(truth: DataFrame, nodes: DataFrame) -> DataFrame:
+    """run, labels, oracle, anchor, reach, queries: how often the map finds the nearest object of a class.
+
+    truth: run, object, class, lx ... hz of the objects seen. nodes: run, node, label, frames, owner (the object it
+    stands for, or null), owner_class, lx ... hz. Every object asks for the nearest of each class that has at least two
+    others; the anchor is its node with the most frames. Candidates are the nodes with that label, or (oracle) those
+    that stand for an object of that class, never those that stand for the asking object.
+    """
+    a = prefixed(truth, "a_", ["run"])
+    b = prefixed(truth, "b_", ["run"]).where(box.finite("b_"))
+    met = a.join(b, "run").where(F.col("a_object") != F.col("b_object"))
+    pairs = met.select("run", F.col("a_object").alias("object"), F.col("b_class").alias("class"), F.col("b_object").alias("id"), box.gap("a_", "b_").alias("gap"), box.centre_distance("a_", "b_").alias("away"))
+    enough = pairs.groupBy("run", "object", "class").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+    asked = _first(pairs, ["run", "object", "class"], "answer").join(enough, ["run", "object", "class"], "left_semi")
+
+    owned = nodes.where(F.col("owner").isNotNull())
+    best = F.max(F.struct("frames", (-F.col("node")).alias("less")))
+    anchors = owned.groupBy("run", "owner").agg((-best["less"]).alias("anchor"))
+    asked = asked.join(anchors.withColumnRenamed("owner", "object"), ["run", "object"], "left")
+    there = owned.select("run", F.col("owner").alias("answer"), F.lit(True).alias("there")).distinct()
+    asked = asked.join(there, ["run", "answer"], "left")
+
+    left = prefixed(nodes.select("run", "node", *BOX), "a_", ["run"]).withColumnRenamed("a_node", "anchor")
+    right = prefixed(nodes.where(box.finite("")).select("run", "node", "label", "owner", "owner_class", *BOX), "b_", ["run"])
+    hits = {}
+    for name, kind in (("labels", "b_label"), ("oracle", "b_owner_class")):
+        near = asked.where("anchor is not null").join(left, ["run", "anchor"]).join(right, "run")
+        near = near.where((F.col(kind) == F.col("class")) & ~F.col("b_owner").eqNullSafe(F.col("object")) & (F.col("b_node") != F.col("anchor")))
+        near = near.select("run", "object", "class", F.col("b_node").alias("id"), box.gap("a_", "b_").alias("gap"), box.centre_distance("a_", "b_").alias("away"))
+        got = _first(near, ["run", "object", "class"], "node").join(nodes.select("run", "node", "owner"), ["run", "node"])
+        hits[name] = got.select("run", "object", "class", F.col("owner").alias(name))
+    both = asked.join(hits["labels"], ["run", "object", "class"], "left").join(hits["oracle"], ["run", "object", "class"], "left")
+    right_ = lambda c: F.avg(F.coalesce(F.col(c) == F.col("answer"), F.lit(False)).cast("int"))
+    known = F.col("anchor").isNotNull()
+    return both.groupBy("run").agg(
+        right_("labels").alias("labels"), right_("oracle").alias("oracle"), F.avg(known.cast("int")).alias("anchor"),
+        F.avg((known & F.coalesce("there", F.lit(False))).cast("int")).alias("reach"), F.count("*").alias("queries"),
+    )

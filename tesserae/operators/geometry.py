@@ -79,6 +79,26 @@ def shrink(mask: np.ndarray, size: tuple[int, int], cover: float = 0.25) -> np.n
     return bytes_ > round(cover * 255)
 
 
+def upsample(image: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Bilinear resize of floats to a larger size, pixel centres aligned, borders held."""
+
+    def along(a: np.ndarray, n: int) -> np.ndarray:
+        at = np.clip((np.arange(n) + 0.5) * a.shape[0] / n - 0.5, 0, a.shape[0] - 1)
+        low = np.floor(at).astype(int)
+        high = np.minimum(low + 1, a.shape[0] - 1)
+        share = (at - low).reshape(-1, *[1] * (a.ndim - 1))
+        return a[low] * (1 - share) + a[high] * share
+
+    return along(along(image.astype(np.float64), size[0]).swapaxes(0, 1), size[1]).swapaxes(0, 1)
+
+
+def smooth_depth(depth: np.ndarray, least: float = 0.05) -> np.ndarray:
+    """Whether the depths of a pixel and its eight neighbours differ by less than a share: no depth edge."""
+    p = np.pad(depth, 1, mode="edge")
+    near = np.stack([p[i : i + depth.shape[0], j : j + depth.shape[1]] for i in range(3) for j in range(3)])
+    return (near.max(axis=0) - near.min(axis=0)) / np.maximum(depth, 1e-6) < least
+
+
 def umeyama(src: np.ndarray, dst: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Scale, rotation and translation that map src onto dst with the least squared error."""
     a, b = src - src.mean(axis=0), dst - dst.mean(axis=0)
