@@ -415,10 +415,12 @@ def find_all(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carriers: int = CARRIERS) -> Tagger:
-    """Train on ``carriers`` documents' text, those whose ids hash lowest (``CARRIER_CHARS`` of each as material)."""
+    """Train on ``carriers`` documents, those whose ids hash lowest; ``CARRIER_CHARS`` of each, from a place by hash."""
+    room = F.greatest(F.length(docs[text]) - CARRIER_CHARS, F.lit(1))
+    start = F.pmod(F.xxhash64(docs[doc_id], docs[text]), room).cast("int") + 1
     rows = (
         docs.where(docs[text].isNotNull())
-        .select(docs[doc_id].alias("k"), F.substring(docs[text], 1, CARRIER_CHARS).alias("t"))
+        .select(docs[doc_id].alias("k"), F.substring(docs[text], start, F.lit(CARRIER_CHARS)).alias("t"))
         .orderBy(F.xxhash64("k"), "k", "t")
         .limit(carriers)
     )
