@@ -41,6 +41,11 @@ class Pieces:
         self.scores, self.ids, self.byte_ids, self.unknown, self.unigram = scores, ids, byte_ids, unknown, unigram
         self.longest = max(map(len, scores), default=1)
         self.floor = min(scores.values(), default=0.0) - 10
+        by_end: dict[str, set[int]] = {}  # lengths of the pieces that end in three characters
+        for p in scores:
+            if len(p) > 2:
+                by_end.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in by_end.items()}
         self.inside = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         self.crossed = any(SPACE in p.lstrip(SPACE) for p in scores)
         self.edges: dict[str, tuple | None] = {}
@@ -96,15 +101,17 @@ class Pieces:
 
     def one_window(self, text: str) -> list[int]:
         """The search of ``StreamingEncoder`` for a byte-pair model on a text that fits in one window."""
-        scores, edges, pairs = self.scores, self.edges, self.pairs
+        scores, edges, pairs, ends = self.scores, self.edges, self.pairs, self.ends
         last, n_chars = [""], len(text)
         for i in range(1, n_chars + 1):
             kept = None
-            for a in range(max(0, i - self.longest), i):
-                s = text[a:i]
+            for n in (*ends.get(text[i - 3 : i] if i > 2 else "", ()), 2, 1):
+                if n > i:
+                    continue
+                s = text[i - n : i]
                 if s in scores and (edges[s] if s in edges else self.edge(s)) is not None:
-                    left = last[a]
-                    if not a or left not in scores or (pairs[left, s] if (left, s) in pairs else self.fits(left, s)):
+                    left = last[i - n]
+                    if not left or left not in scores or (pairs[left, s] if (left, s) in pairs else self.fits(left, s)):
                         kept = s
                         break
             last.append(kept or text[i - 1])
