@@ -252,3 +252,10 @@ def test_stage_log(spark, tmp_path):
     assert late == {("graph", "newer features"), ("graph", "parameters")}
     with pytest.raises(ValueError):
         stages.checked(df, "masks")
+
+
+def test_groups_by_frame(spark):
+    rows = spark.createDataFrame([(0, f, m, 1.0 - m / 10) for f in (0, 1) for m in (1, 2, 3)] + [(1, 0, 1, 0.5)], "run int, frame int, mask int, score double")
+    pairs = spark.createDataFrame([(0, 0, 1, 2, 0.9), (0, 1, 2, 3, 0.9)], "run int, frame int, a int, b int, iou double")
+    got = {(r.run, r.frame, r.mask): r.group for r in refine.complete_link_groups(rows, pairs, ["run", "frame"], 0.6).collect()}
+    assert got == {(0, 0, 1): 0, (0, 0, 2): 0, (0, 0, 3): 1, (0, 1, 1): 0, (0, 1, 2): 1, (0, 1, 3): 1, (1, 0, 1): 0}
