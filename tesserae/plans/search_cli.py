@@ -80,6 +80,15 @@ def answer(nodes: DataFrame, objects: DataFrame, texts: DataFrame, args: argpars
     return best.select(F.col("id").alias("node"), F.col("score").alias("value"), "rank").join(named, "node").select("node", "label", "value", "rank").orderBy("rank")
 
 
+def describe(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, text: label, centre, and what each object is on or under (near is left out)."""
+    spot = F.format_string("%s at (%.2f, %.2f, %.2f)", "label", *[(F.col(f"l{k}") + F.col(f"h{k}")) / 2 for k in "xyz"])
+    links = spatial.neighbours(edges).where("relation != 'near'")
+    words = links.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "relation", "other"))), ", ").alias("links"))
+    both = nodes.select("node", spot.alias("spot")).join(words, "node", "left")
+    return both.select("node", F.concat_ws("; ", "spot", "links").alias("text"))
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("search").getOrCreate()

@@ -89,3 +89,19 @@ def stale(entries: DataFrame, params: dict[str, dict] | None = None) -> DataFram
     now = spark.createDataFrame([(s, json.dumps(p, sort_keys=True)) for s, p in params.items()], "stage string, now string")
     other = entries.join(F.broadcast(now), "stage").where(F.col("params") != F.col("now"))
     return newer.union(other.select("run_id", "stage", F.lit("parameters").alias("reason"))).distinct()
+
+
+def save_prediction(points: DataFrame, embeddings: DataFrame, root: str, method: str) -> None:
+    """A method's map: its points (scene, obj, x, y, z) and embeddings (scene, obj, embedding), a partition a scene.
+
+    Scenes that are written replace what the method had for them; other scenes and methods stay.
+    """
+    for name, df in (("points", points), ("embeddings", embeddings)):
+        held = df.withColumn("method", F.lit(method))
+        writer = held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("method", "scene").parquet(f"{root}/prediction_{name}")
+
+
+def predictions(spark: SparkSession, root: str, name: str, method: str) -> DataFrame:
+    """A method's points or embeddings; other methods' partitions are not read."""
+    return spark.read.parquet(f"{root}/prediction_{name}").where(F.col("method") == method).drop("method")

@@ -141,3 +141,26 @@ def test_search_command(spark):
         with pytest.raises(ValueError):
             search_cli.check(search_cli.parser().parse_args([*bad, "--map", "m"]))
     assert isinstance(search_cli.parser(), argparse.ArgumentParser) and F is not None
+
+
+def test_describe(spark):
+    from tesserae.operators import spatial
+
+    kinds = "run long, node long, label string, lx double, ly double, lz double, hx double, hy double, hz double"
+    nodes = spark.createDataFrame([(0, 1, "sofa", 0.0, 0.0, 0.0, 2.0, 1.0, 0.8), (0, 2, "cushion", 0.2, 0.2, 0.4, 0.6, 0.6, 0.6)], kinds)
+    got = {r.node: r.text for r in search_cli.describe(nodes, spatial.edges(nodes)).collect()}
+    assert got == {1: "sofa at (1.00, 0.50, 0.40); under 2", 2: "cushion at (0.40, 0.40, 0.50); on 1"}
+
+
+def test_predictions_replace_scenes(spark, tmp_path):
+    from tesserae.sources import stages
+
+    root, emb = str(tmp_path), "scene string, obj int, embedding array<double>"
+    cloud = lambda *rows: spark.createDataFrame(list(rows), "scene string, obj int, x double, y double, z double")
+    one = spark.createDataFrame([("a", 1, [1.0])], emb)
+    stages.save_prediction(cloud(("a", 1, 0.0, 0.0, 0.0), ("b", 1, 0.0, 0.0, 0.0)), one, root, "m")
+    stages.save_prediction(cloud(("a", 2, 0.0, 0.0, 0.0), ("a", 3, 0.0, 0.0, 0.0)), one, root, "m")
+    stages.save_prediction(cloud(("a", 9, 0.0, 0.0, 0.0)), one, root, "n")
+    got = sorted((r.scene, r.obj) for r in stages.predictions(spark, root, "points", "m").collect())
+    assert got == [("a", 2), ("a", 3), ("b", 1)]
+    assert stages.predictions(spark, root, "embeddings", "n").count() == 1
