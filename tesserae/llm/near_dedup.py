@@ -191,7 +191,8 @@ def stars(buckets: DataFrame, nodes: DataFrame, percent: int, miss: float) -> Da
 def candidates(group: list[tuple], percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Surviving pairs of a block (positions, and matches): minor nodes against all others of another component.
 
-    A row: band, id, component, n, signature, minor. A pair is looked at in the first band that it shares only.
+    A row: band, id, component, n, signature, minor, keys of all bands. A pair is looked at in the first band that it
+    shares only; bands are shared by key, as equal signature bytes need not mean equal minima.
     """
     part = np.asarray([g[2] for g in group], dtype=np.int64)
     n = np.asarray([g[3] for g in group], dtype=np.int64)
@@ -203,11 +204,13 @@ def candidates(group: list[tuple], percent: int, miss: float) -> tuple[np.ndarra
     if not len(x):
         return x, y, x
     s = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), -1)
+    band = np.asarray([g[0] for g in group], dtype=np.int64)
+    keys = np.asarray([g[6] for g in group], dtype=np.int64)
     out = []
     for at in range(0, len(x), 50_000):
         u, v = x[at : at + 50_000], y[at : at + 50_000]
-        same = (s[u] == s[v]).reshape(len(u), BANDS, ROWS).all(axis=2)
-        mine = same.argmax(axis=1) == group[0][0]
+        same = keys[u] == keys[v]
+        mine = same.any(axis=1) & (same.argmax(axis=1) == band[u]) & (band[u] == band[v])
         u, v = u[mine], v[mine]
         alive, matches = surviving(s[u], s[v], percent / 100, miss)
         out.append((u[alive], v[alive], matches))
@@ -236,7 +239,7 @@ def linked_once(group: list[tuple], percent: int, miss: float, sets: Callable[[s
             continue
         for e in (i, j):
             if e not in known:
-                known[e] = sets(group[e][6])
+                known[e] = sets(group[e][7])
         if similar(known[i], known[j], percent):
             root[max(c, d)] = min(c, d)
             links.append((group[i][1], group[j][1]))
@@ -266,16 +269,16 @@ def across(buckets: DataFrame, nodes: DataFrame, component: DataFrame, texts: Da
             F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minor_blocks"),
         )
     )
-    rows = members.join(open_, "key").join(nodes.select("id", "n", "signature"), "id")
+    rows = members.join(open_, "key").join(nodes.select("id", "n", "signature", "bands"), "id")
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
-    kept = ["key", "band", "id", "component", "n", "signature"]
+    kept = ["key", "band", "id", "component", "n", "signature", "bands"]
     right = rows.select(*kept, F.lit(False).alias("minor"), F.explode(numbers("minor_blocks")).alias("i"), block("blocks").alias("j"))
     left = rows.where(F.col("component") != F.col("major")).select(
         *kept, F.lit(True).alias("minor"), block("minor_blocks").alias("i"), F.explode(numbers("blocks")).alias("j")
     )
     place = ["key", "i", "j"]
-    held = ["band", "id", "component", "n", "signature", "minor"]
+    held = ["band", "id", "component", "n", "signature", "minor", "bands"]
     dealt = left.unionByName(right).repartition(*place).sortWithinPartitions(*place, "minor", "id")
 
     def groups(batches, names):
@@ -304,7 +307,7 @@ def across(buckets: DataFrame, nodes: DataFrame, component: DataFrame, texts: Da
                 out = {k: [] for k in out}
         yield out
 
-    kinds = "key bigint, i int, j int, band int, id bigint, component bigint, n bigint, signature binary, minor boolean"
+    kinds = "key bigint, i int, j int, band int, id bigint, component bigint, n bigint, signature binary, minor boolean, bands array<bigint>"
     involved = map_batches(dealt.select(*place, *held), meet, kinds, batch_rows=5000)
     whole = involved.join(texts, "id").repartition(*place).sortWithinPartitions(*place, "minor", "id")
 

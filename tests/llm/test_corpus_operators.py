@@ -71,6 +71,19 @@ def test_components_against_all_pairs(spark, seed, monkeypatch):
     assert got == want
 
 
+def test_bridges_between_components(spark):
+    """Two close pairs joined by one link at 0.758 (100 of 132 shingles), which only the step across components finds."""
+    rows = []
+    for q in range(3000):
+        left = [f"q{q}w{i}" for i in range(120)]
+        right = [f"{w}x" if i >= 104 else w for i, w in enumerate(left)]
+        texts = [[f"{w}y" for w in left[:4]] + left[4:], [f"{w}z" for w in right[:4]] + right[4:], left, right]
+        rows += [(4 * q + k, " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert len(got) == len(rows) and [i for i in sorted(got) if got[i] != i // 4 * 4] == []
+
+
 def test_near_duplicates_edges(spark):
     kinds = "doc_id long, text string"
     empty = spark.createDataFrame([], kinds)
