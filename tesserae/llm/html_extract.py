@@ -5,8 +5,8 @@ reader comments, ...) are cut out by tag, role, or class and id words. Every rem
 density of characters per tag; a node's score is the sum of its children's densities, and the node with the
 highest score is the core of the text. The threshold is the lowest density on the path from the core to the body:
 what stands beside that path and is at least as dense belongs to the text too, and so do headings that stand before
-it. If the core lies in an ``article``
-or ``main`` element, that element is the text.
+it. Bare text and inline elements in a row beside the path are one such part, with a density of their own. If the core
+lies in an ``article`` or ``main`` element, that element is the text.
 
 Blocks are joined by two line feeds; inside a block white space becomes one space.
 
@@ -213,8 +213,15 @@ def mark_noise(nodes: list[Node]) -> None:
             x.noise = x.tag not in HEADINGS and x.tag != "hgroup"
 
 
-def measure(nodes: list[Node]) -> None:
-    """Characters, tags, link characters and densities, leaves first."""
+def set_density(x: Node, ratio: float) -> None:
+    """Link-adjusted characters per tag; ``ratio``: link characters of all characters on the page."""
+    c, t, lc, lt = x.chars, max(1, x.tags), max(1, x.links), max(1, x.link_tags)
+    base = math.log(c / max(1, c - x.links) * x.links + ratio * c + math.e)
+    x.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, 1 + 1e-9)) if base > 1 else math.log(max(1.0, c / lc * t / lt)))
+
+
+def measure(nodes: list[Node]) -> float:
+    """Characters, tags, link characters and densities, leaves first; returns the page's share of link characters."""
     for x in nodes:
         x.chars = x.tags = x.links = x.link_tags = 0
         x.density = x.score = 0.0
@@ -235,11 +242,37 @@ def measure(nodes: list[Node]) -> None:
     for x in nodes:
         if x.noise or not x.chars:
             continue
-        c, t, lc, lt = x.chars, max(1, x.tags), max(1, x.links), max(1, x.link_tags)
-        base = math.log(c / max(1, c - x.links) * x.links + ratio * c + math.e)
-        x.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, 1 + 1e-9)) if base > 1 else math.log(max(1.0, c / lc * t / lt)))
+        set_density(x, ratio)
         if x.parent is not None:
             x.parent.score += x.density
+    return ratio
+
+
+def gather_runs(parent: Node, child: Node, mixed: set[int], ratio: float) -> None:
+    """Bare texts and inline elements in a row become one nameless node; ``child`` and what is in ``mixed`` stay alone."""
+    items: list = []
+    run: Node | None = None
+    for x in parent.items:
+        if isinstance(x, Node) and (x is child or x.tag in BLOCKS or id(x) in mixed):
+            run = None
+            items.append(x)
+            continue
+        if run is None:
+            run = Node("", parent)
+            run.noise, run.chars, run.tags, run.links, run.link_tags = False, 0, 0, 0, 0
+            items.append(run)
+        run.items.append(x)
+        if isinstance(x, str):
+            run.chars += len("".join(x.split()))
+        elif not x.noise:
+            run.chars += x.chars
+            run.tags += x.tags + 1
+            run.links += x.links
+            run.link_tags += x.link_tags
+    for x in items:
+        if x.tag == "":
+            set_density(x, ratio)
+    parent.items = items
 
 
 def blocks_of(root: Node, chosen: set[int] | None) -> list[str]:
@@ -280,7 +313,7 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     nodes = in_order(root)
     mark_noise(nodes)
-    measure(nodes)
+    ratio = measure(nodes)
     body = root.items[0]
     inner = [x for x in nodes[1:] if not x.noise and x.chars]
     if not inner:
@@ -294,7 +327,12 @@ def main_text(page: str | None) -> str:
         return "\n\n".join(blocks_of(articles[-1] if articles else holder, None))
     threshold = min(x.density for x in path)
     chosen = {id(core)}
+    mixed = set()  # nodes that hold a block
+    for x in reversed(nodes):
+        if x.parent is not None and (x.tag in BLOCKS or id(x) in mixed):
+            mixed.add(id(x.parent))
     for child, parent in zip(path, path[1:], strict=False):
+        gather_runs(parent, child, mixed, ratio)
         before = True
         for x in parent.items:
             before = before and x is not child

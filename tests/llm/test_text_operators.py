@@ -167,6 +167,17 @@ def test_main_text():
     assert f("<p>x</p>" * 3000) == "\n\n".join("x" * 3000)
 
 
+def test_main_text_beside_the_core():
+    """Pages without article or main: bare text and inline elements beside the core."""
+    f, long = html_extract.main_text, "a long line of the page's own text " * 6
+    made, core = " ".join(long.split()), "<div><p>First paragraph of it.</p><p>And the second one.</p></div>"
+    want = f"Top\n\n{made} {made}\n\nFirst paragraph of it.\n\nAnd the second one.\n\n{made}"
+    assert f(f"<body><h1>Top</h1>{long}<br>{long}{core}{long}</body>") == want
+    assert f(f"<body><div class=wrap><h1>Top</h1>{long}<b>{long}</b>{core}<span>{long}</span></div></body>") == want
+    links = "".join(f"<a href=x{i}>to {i}</a> " for i in range(9))
+    assert f(f"<body>{links}<h1>Top</h1>{long}<br>{long}{core}{long}</body>") == want
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 3), (1, None, "<p>a</p>", 3), (1, None, "<p>a</p>", 3)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract_main_text(pages).collect()) == [("", 0), ("a", 1), ("a", 1)]
