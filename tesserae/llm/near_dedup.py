@@ -418,11 +418,37 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **named) -> DataFrame:
-    """The rows of the documents that stay, with all their columns; of rows that share an id one stays."""
-    judged = near_duplicates(docs, doc_id, text, **named)
-    kept = checkpointed(judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    whole = docs.join(kept.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
-    return whole if kept.where("rows > 1").isEmpty() else whole.dropDuplicates([doc_id])
+    """The rows of the documents that stay, with all their columns: of each component one, the smallest id first.
+
+    Rows are judged, not ids. Rows whose id is null or repeated are known by a 64-bit hash of their text, so each text
+    is a document of its own; of rows with equal id and text one stays. Rows without shingles have no copies: all with
+    a null id stay, and one of each id and text.
+    """
+    of_text = F.xxhash64(F.coalesce(F.col("_text"), F.lit("")))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
+    counts = docs.groupBy(docs[doc_id].alias("_id")).agg(F.count("*").alias("rows"))
+    odd = checkpointed(counts.where(F.col("_id").isNull() | (F.col("rows") > 1)).select("_id"))
+    if odd.isEmpty():  # every row has an id of its own
+        kept = near_duplicates(docs, doc_id, text, **named).where("kept").select(F.col("doc_id").alias(doc_id))
+        return docs.join(kept, doc_id, "left_semi").select(*docs.columns)
+    repeated = odd.where(F.col("_id").isNotNull())
+    own = whole.where(F.col("_id").isNotNull()).join(repeated, "_id", "left_anti").withColumn("_key", F.col("_id").cast("bigint"))
+    shared = whole.where(F.col("_id").isNull()).unionByName(whole.join(repeated, "_id", "left_semi")).withColumn("_key", of_text)
+    texts = own.select("_key", "_text").unionByName(shared.select("_key", "_text").dropDuplicates(["_key"]))
+    judged = checkpointed(near_duplicates(texts, "_key", "_text", **named).select(F.col("doc_id").alias("_key"), "n_shingles", "component_id"))
+    ids = own.select("_id", "_key").unionByName(shared.select("_id", "_key").distinct()).join(judged, "_key")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("first")
+    linked = ids.where("n_shingles > 0").groupBy("component_id").agg(first).select("first._id", "first._key", F.lit(False).alias("bare"))
+    stay = checkpointed(linked.unionByName(ids.where("n_shingles = 0").select("_id", "_key", F.lit(True).alias("bare"))))
+
+    def staying(rows: DataFrame) -> DataFrame:
+        at = stay.select(F.col("_id").alias("id"), F.col("_key").alias("key"), "bare")
+        return rows.join(at, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id")))
+
+    several = staying(shared)
+    bare = F.col("bare") & F.col("_id").isNull()
+    one = several.where(~bare).groupBy("_id", "_key").agg(F.min("_row").alias("_row"))
+    return staying(own).select("_row.*").unionByName(several.where(bare).select("_row.*")).unionByName(one.select("_row.*"))
 
 
 def oracle(width: int = 5, percent: int = 75) -> str:

@@ -95,6 +95,17 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == ["doc_id", "text", "component_id"] and sorted(r.doc_id for r in kept.collect()) == [2, 7, 8]
 
 
+def test_keep_one_judges_rows(spark):
+    new = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(None, new("a")), (None, new("a")), (None, new("b") + " end"), (4, new("b")), (3, new("c")), (3, new("d")), (3, new("d")),
+            (5, new("d")), (1, new("d") + " end"), (6, new("e")), (None, None), (None, ""), (7, None), (7, ""), (7, new("e")), (9, " ")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_shingles string")
+    kept = near_dedup.keep_one(docs)
+    want = [(1, new("d") + " end"), (3, new("c")), (4, new("b")), (6, new("e")), (7, ""), (9, " "), (None, None), (None, ""), (None, new("a"))]
+    shown = lambda found: sorted((repr(k), t or "") for k, t, *_ in found)
+    assert kept.columns == docs.columns and shown(kept.collect()) == shown(want)
+
+
 def test_posterior_bounds_keep_what_is_similar():
     least = near_dedup.least_matches(0.75, 1e-5)
     assert list(least) == sorted(least)
