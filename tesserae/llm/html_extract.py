@@ -50,8 +50,15 @@ NOISE_WORDS = frozenset(
     "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription teaser toolbar topbar widget widgets".split()
 )
-#: Words that begin a class or id of such a part ("sidebar2", "commentsarea").
-NOISE_STEMS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor")
+#: Words that begin a class or id of such a part ("sidebar2", "cookiewall").
+NOISE_STEMS = ("advert", "breadcrumb", "cookie", "newsletter", "sidebar", "sponsor")
+#: Words for reader comments, alone or with the name of a part ("commentsarea"); "commentary" is none.
+COMMENT = re.compile(
+    r"comment(?:s|ers?|ing)?(?:areas?|author|blocks?|body|box|containers?|content|count|entry|feed|form|holder|inner|items?"
+    r"|links?|lists?|meta|outer|page|reply|respond|rows?|sections?|template|text|threads?|title|tree|wrap|wrapper)?"
+)
+#: Elements around a whole page on some sites: with an article, main or h1 inside, only their controls go.
+WRAPPERS = frozenset("form fieldset".split())
 #: Element -> open elements that it ends, and those that shield them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -200,15 +207,18 @@ def mark_noise(nodes: list[Node]) -> None:
         x.noise = x.parent is not None and x.parent.noise
         if x.noise or x.tag in ("html", "body"):
             continue
-        named = bool(x.words & NOISE_WORDS) or any(w.startswith(NOISE_STEMS) for w in x.words)
+        comment = any(w.startswith("comment") and COMMENT.fullmatch(w) for w in x.words)
+        named = comment or bool(x.words & NOISE_WORDS) or any(w.startswith(NOISE_STEMS) for w in x.words)
         if x.tag == "article":
-            x.noise = x.hidden or any(w.startswith("comment") for w in x.words)
+            x.noise = x.hidden or comment
         elif x.tag == "header":
             x.noise = not inside and id(x) not in frames or x.hidden
         elif x.tag in ("main", "h1"):
             x.noise = x.hidden
         else:
-            x.noise = x.tag in NOISE_TAGS or x.hidden or bool(x.roles & NOISE_ROLES) or (named and id(x) not in holds)
+            wraps = id(x) in holds and x.tag in WRAPPERS
+            roles = x.roles - {"form"} if wraps else x.roles
+            x.noise = (x.tag in NOISE_TAGS and not wraps) or x.hidden or bool(roles & NOISE_ROLES) or (named and id(x) not in holds)
         if not x.noise and x.parent is not None and x.parent.tag == "header" and id(x) not in holds:
             x.noise = x.tag not in HEADINGS and x.tag != "hgroup"
 

@@ -178,6 +178,18 @@ def test_main_text_beside_the_core():
     assert f(f"<body>{links}<h1>Top</h1>{long}<br>{long}{core}{long}</body>") == want
 
 
+def test_main_text_in_a_form():
+    f = html_extract.main_text
+    inner = "<input><label>Find</label><button>Go</button><article><h1>Head</h1><p>Text of the page.</p><form><input>Send</form></article>"
+    for form in ("<form>", "<form role=form><fieldset>"):
+        assert f(f"<body>{form}{inner}</body>") == "Head\n\nText of the page."
+    assert f("<form><h1>Head</h1><div><p>One text.</p><p>Two texts.</p></div><select><option>a</select></form>") == "Head\n\nOne text.\n\nTwo texts."
+    page = "<article><p>Text.</p><div class='{}'><p>More.</p></div></article>".format
+    assert all(f(page(c)) == "Text.\n\nMore." for c in ("commentary", "match-commentary", "commentator"))
+    assert all(f(page(c)) == "Text." for c in ("comment", "comments", "commentsArea", "commentlist", "commentsection", "comment-form", "commenter"))
+    assert f("<article class=commentary><p>Text.</p></article>") == "Text."
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 3), (1, None, "<p>a</p>", 3), (1, None, "<p>a</p>", 3)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract_main_text(pages).collect()) == [("", 0), ("a", 1), ("a", 1)]
