@@ -4,8 +4,8 @@ Candidates lie in blocks of bounded size; in a block every dimension has its val
 from the top for queries whose component is positive and from the bottom where it is negative. A block of queries
 reads all lists down to a depth. What has been read gives each candidate a lower bound (unread components at their
 worst) and an upper bound (unread components at the value the reading stands at). Candidates whose upper bound is
-under the k-th best lower bound of every query are outsiders and leave; reading goes deeper until few remain or the
-lists end, and what remains is resolved to its final score. Bounds of a whole block are matrix products over values
+under the k-th best lower bound of every query are outsiders and leave. With the one depth in use, half of each list,
+reading goes no deeper: what remains, all candidates on the test embeddings, gets its final score by a full product. Bounds of a whole block are matrix products over values
 that are clamped at the reading's thresholds. The k best of each block meet in a top-k by query.
 
 Every query block meets every candidate block once: a stated query set against all rows, in blocks. Query blocks
