@@ -8,14 +8,18 @@
    are generated: an unbounded knapsack, solved by dynamic programming over the dual prices, finds the pattern
    with the best reduced cost until none improves. Pattern counts are rounded down and the small rest is packed
    best-fit decreasing over the classes.
-4. Pieces are ranked within their class. Rank intervals of a class belong to patterns, so a piece finds its
-   sequence by its rank alone, and offsets are running sums within a sequence.
-
-Ranks are counted in two steps, within (class, bucket) and over the fixed number of buckets of a class, so that
-no class, however common its length, is ordered in one task.
-
-Defined cases: a null or empty text is the end id alone; repeated rows are packed each; extra columns are ignored;
-an empty table gives an empty result; texts of any length are tokenised whole.
+4. Pieces are ranked within their class: by partition, and in a partition by their order. Rank intervals of a class
+   belong to patterns, so a piece finds its sequence by its rank alone, and offsets are running sums within a
+   sequence.
+
+The pass over the texts numbers the pieces of each class within its partition and writes the numbers to the
+checkpoint with them. What is summed up afterwards is one count for each class and partition; no class, however
+common its length, is ordered anywhere, and no task's work grows with the number of documents.
+
+Defined cases: a null or empty text is the end id alone; a null id is kept; repeated rows are packed each; pieces of
+equal length rank by their place in the input, and in a sequence the longer piece stands first, then the smaller id,
+start and checksum; extra columns are ignored; an empty table gives an empty result; texts of any length are tokenised
+whole. A pre-tokenised piece for which the model gives no id is an error, never silently dropped.
 """
 
 from __future__ import annotations
@@ -34,8 +38,6 @@ from tesserae.llm.token_count import Cutter
 
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 500_000
-#: Buckets into which each size class is dealt for ranking.
-BUCKETS = 1024
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -48,7 +50,10 @@ class PieceIds(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[piece] = ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        if not ids:
+            raise ValueError(f"the model gives no id for {piece!r}")
+        self[piece] = ids
         return ids
 
 
@@ -82,25 +87,33 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, doc_id: str, text: str) -> DataFrame:
-    """Pieces of every document: whole sequences first, then what remains."""
+def cut_pieces(
+    docs: DataFrame, path: str, end_id: int, capacity: int, granularity: int, doc_id: str, text: str
+) -> DataFrame:
+    """Pieces of every document, whole sequences first, then what remains; class (0: a whole sequence), partition and
+    number among the partition's pieces of that class."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "at")
 
     def run(batches):
-        words, end = word_ids(path), array("I", [end_id]).tobytes()
+        from pyspark import TaskContext
+
+        words, end, part = word_ids(path), array("I", [end_id]).tobytes(), TaskContext.get().partitionId()
+        counts = [0] * (capacity // granularity + 1)
         for b in batches:
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
+            rows = []
             for key, t in zip(b[doc_id], b[text], strict=True):
                 ids = words.ids(t or "") + end
-                for at in range(0, len(ids), 4 * capacity):
-                    part = ids[at : at + 4 * capacity]
-                    for k, v in zip(out, (key, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4), strict=True):
-                        out[k].append(v)
-            yield out
-
-    return map_batches(
-        only(docs, doc_id, text), run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    )
+                for begin in range(0, len(ids), 4 * capacity):
+                    held = ids[begin : begin + 4 * capacity]
+                    n = len(held) // 4
+                    c = -(-n // granularity) if n < capacity else 0
+                    rows.append((key, begin // 4, n, zlib.crc32(held), len(ids) // 4, c, part, counts[c]))
+                    counts[c] += 1
+            yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in names}
+
+    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, part int, at bigint"
+    return map_batches(only(docs, doc_id, text), run, schema)
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -223,33 +236,22 @@ def pack(
     """
     if capacity % granularity:
         raise ValueError("granularity must divide capacity")
-    pieces = checkpointed(cut_pieces(docs, path, end_id, capacity, doc_id, text))
-    size = F.ceil(F.col("length") / granularity).cast("int")
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int")
-    keyed = pieces.withColumn("_class", F.when(F.col("length") < capacity, size).otherwise(0)).withColumn("_bucket", bucket)
-    tally = checkpointed(keyed.groupBy("_class", "_bucket").agg(F.count("*").alias("n")))
-    histogram = {r["_class"]: r["n"] for r in tally.groupBy("_class").agg(F.sum("n").alias("n")).collect()}
+    pieces = checkpointed(cut_pieces(docs, path, end_id, capacity, granularity, doc_id, text))
+    tally = checkpointed(pieces.groupBy("class", "part").agg(F.count("*").alias("n")))
+    histogram = {r["class"]: r["n"] for r in tally.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     demand = np.asarray([histogram.get(c + 1, 0) for c in range(capacity // granularity)], dtype=np.int64)
     patterns, counts = integer_patterns(demand)
     plan, short = slots(patterns, counts), int(counts.sum())
 
-    begin = tally.select(
-        "_class",
-        "_bucket",
-        (F.sum("n").over(Window.partitionBy("_class").orderBy("_bucket")) - F.col("n")).alias("_begin"),
-    )
-    in_bucket = Window.partitionBy("_class", "_bucket").orderBy(F.col("length").desc(), "doc_id", "start", "ids_crc32")
-    ranked = (
-        keyed.withColumn("_at", F.row_number().over(in_bucket) - 1)
-        .join(begin, ["_class", "_bucket"])
-        .withColumn("_rank", F.col("_begin") + F.col("_at"))
-    )
+    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = tally.select("class", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    ranked = pieces.join(begin, ["class", "part"]).withColumn("rank", F.col("begin") + F.col("at"))
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def place(batches):
         for b in batches:
-            kinds, ranks = np.asarray(b["_class"], dtype=np.int64), np.asarray(b["_rank"], dtype=np.int64)
+            kinds, ranks = np.asarray(b["class"], dtype=np.int64), np.asarray(b["rank"], dtype=np.int64)
             where = short + ranks
             for c in np.unique(kinds[kinds > 0]):
                 mine = np.flatnonzero(kinds == c)
@@ -259,7 +261,7 @@ def pack(
             yield {n: b[n] for n in names} | {"sequence_id": where}
 
     placed = map_batches(
-        ranked.select(*names, "_class", "_rank"),
+        ranked.select(*names, "class", "rank"),
         place,
         f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint",
         batch_rows=10_000,

@@ -9,8 +9,9 @@ text's count is a sum over its words. The text is normalised and cut as the voca
 library's own normaliser and pre-tokeniser; strings of added tokens inside a text are one token each, which is
 the library's default.
 
-Defined cases: a null or empty text has 0 tokens and 0 bytes; repeated rows give repeated results; extra columns
-are ignored; texts of any length are read whole.
+Defined cases: a null or empty text has 0 tokens and 0 bytes; repeated rows give repeated results; a null id is kept;
+equal ranks cannot occur, and of equal pairs the leftmost is merged first; extra columns are ignored; an empty table
+gives an empty result; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -102,9 +103,15 @@ class Cutter:
         return regex.compile(cuts[0]["pattern"]["Regex"]).findall
 
     def pieces(self, text: str) -> list[str]:
-        """By the library; words of Latin letters, whose tables never differ, by its pattern alone."""
+        """By the library; words of Latin letters, whose tables never differ, by its pattern alone.
+
+        Printable ASCII characters but the space stand for themselves in the byte alphabet; control characters do not.
+        """
         if self.find and text.isascii():
-            return [text.lower()] if text.isalpha() else self.find(text.lower())
+            if text.isalpha():
+                return [text.lower()]
+            found = self.find(text.lower())
+            return found if text.isprintable() and " " not in text else [p.translate(self.alphabet) for p in found]
         if self.find and max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
             return [p.encode().decode("latin-1").translate(self.alphabet) for p in self.find(text.lower())]
         made = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
