@@ -7,14 +7,16 @@ the two pieces. So a node keeps the one edge whose piece fits the piece kept at
 backpointers finds the library's segmentation without a heap of merges over the text.
 
 The search reads a stream. It holds backpointers of a window only: later edges can start at the last ``longest``
-boundaries, so once all paths back from those meet in one boundary, the ids before it are committed and forgotten.
-Where no piece can cross a boundary (between two characters that stand side by side in no piece) paths meet at once;
-stretches between such boundaries are independent, and a worker remembers their ids (bounded).
+boundaries, so once all paths back from those meet in one boundary, the ids before it are committed and forgotten. A
+meeting is looked for as soon as the window is longer than the longest piece, and again a quarter of it later.
+Where no piece can cross a boundary (between two characters that stand side by side in no piece) paths meet at once and
+are committed there; stretches between such boundaries are independent, and a worker remembers their ids (bounded).
+Every id comes from this one search, whatever the length of a stretch.
 
 Characters without a piece become their UTF-8 bytes' pieces. Decoding joins the pieces' bytes.
 
-Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows give repeated results;
-extra columns are ignored; texts of any length are read whole; an empty table gives an empty result.
+Defined cases: a null or empty text has no ids and decodes to the empty text; a null id is kept; repeated rows give
+repeated results; of equal scores in a unigram model the longer piece is kept; extra columns are ignored; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,28 +101,6 @@ class Pieces:
             known = self.pairs[a, b] = self._fits(a, b)
         return known
 
-    def one_window(self, text: str) -> list[int]:
-        """The search of ``StreamingEncoder`` for a byte-pair model on a text that fits in one window."""
-        scores, edges, pairs, ends = self.scores, self.edges, self.pairs, self.ends
-        last, n_chars = [""], len(text)
-        for i in range(1, n_chars + 1):
-            kept = None
-            for n in (*ends.get(text[i - 3 : i] if i > 2 else "", ()), 2, 1):
-                if n > i:
-                    continue
-                s = text[i - n : i]
-                if s in scores and (edges[s] if s in edges else self.edge(s)) is not None:
-                    left = last[i - n]
-                    if not left or left not in scores or (pairs[left, s] if (left, s) in pairs else self.fits(left, s)):
-                        kept = s
-                        break
-            last.append(kept or text[i - 1])
-        found, i = [], n_chars
-        while i:
-            found.append(last[i])
-            i -= len(last[i])
-        return self.to_ids(reversed(found))
-
     def to_ids(self, found) -> list[int]:
         """Ids of pieces; characters without a piece by their bytes, or unknown."""
         out: list[int] = []
@@ -157,36 +137,52 @@ class StreamingEncoder:
         self.last: list[str | None] = [None]  # kept piece, by boundary
         self.before: str | None = None  # piece in front of the window
         self.widest = 0  # boundaries held at most, so far
+        self.commits = 0  # times that paths met before the end
+        self.look = pieces.longest + 1  # boundaries with which a meeting is looked for
 
     def feed(self, more: str) -> None:
+        step = self._best_edge if self.pieces.unigram else self._fitting_edge
         for c in more:
             self.text += c
-            self._step()
-            if len(self.last) > 4 * self.pieces.longest:
-                self._commit(self._meeting())
-
-    def _step(self) -> None:
-        p, i = self.pieces, len(self.text)
-        self.widest = max(self.widest, i)
-        best, kept, start = -INF, None, i - 1
+            step(len(self.text))
+            if len(self.last) > self.look:
+                self.widest = max(self.widest, len(self.last))
+                at = self._meeting()
+                self.commits += at > 0
+                self._commit(at)
+                self.look = max(self.pieces.longest, len(self.last)) + 1 + self.pieces.longest // 4
+
+    def _best_edge(self, i: int) -> None:
+        """Unigram model: the edge with the best sum of scores. A character that is no piece has a low score."""
+        p, text = self.pieces, self.text
+        best, start = -INF, i - 1
         for n in range(min(p.longest, i), 0, -1):
-            s = self.text[i - n : i]
-            score = p.scores.get(s)
-            if score is None:
-                continue
-            if p.unigram:
-                if self.best[i - n] + score > best:
-                    best, kept, start = self.best[i - n] + score, s, i - n
-                continue
-            left = self.last[i - n] if i > n else self.before
-            if p.edge(s) is not None and (left is None or left not in p.scores or p.fits(left, s)):
-                best, kept, start = 0.0, s, i - n
-                break
-        if p.unigram and self.text[-1] not in p.scores and self.best[i - 1] + p.floor > best:
-            best, kept, start = self.best[i - 1] + p.floor, None, i - 1
+            score = p.scores.get(text[i - n : i])
+            if score is not None and self.best[i - n] + score > best:
+                best, start = self.best[i - n] + score, i - n
+        if text[i - 1] not in p.scores and self.best[i - 1] + p.floor > best:
+            best, start = self.best[i - 1] + p.floor, i - 1
         self.start.append(start)
-        self.best.append(best if kept is not None or p.unigram else 0.0)
-        self.last.append(kept if kept is not None else self.text[start:i])
+        self.best.append(best)
+        self.last.append(text[start:i])
+
+    def _fitting_edge(self, i: int) -> None:
+        """Byte-pair model: the one edge whose piece fits the piece kept at its start."""
+        p, text, last = self.pieces, self.text, self.last
+        scores, edges, pairs = p.scores, p.edges, p.pairs
+        for n in (*p.ends.get(text[i - 3 : i] if i > 2 else "", ()), 2, 1):
+            if n > i:
+                continue
+            s = text[i - n : i]
+            if s in scores and (edges[s] if s in edges else p.edge(s)) is not None:
+                left = last[i - n] if i > n else self.before
+                if left is None or left not in scores or (pairs[left, s] if (left, s) in pairs else p.fits(left, s)):
+                    break
+        else:
+            n, s = 1, text[i - 1]
+        self.start.append(i - n)
+        self.best.append(0.0)
+        last.append(s)
 
     def _meeting(self) -> int:
         """The boundary that all paths back from the last boundaries share."""
@@ -285,14 +281,14 @@ class Stretches(dict):
     def __init__(self, pieces: Pieces, mark: str):
         self.pieces, self.mark = pieces, mark
         self.parts: dict[str, bytes] = {}
+        self.searches = self.commits = 0
 
     def search(self, part: str) -> bytes:
-        if len(part) <= 4 * self.pieces.longest and not self.pieces.unigram:
-            found = self.pieces.one_window(part)
-        else:
-            e = StreamingEncoder(self.pieces)
-            e.feed(part)
-            found = e.finish()
+        e = StreamingEncoder(self.pieces)
+        e.feed(part)
+        found = e.finish()
+        self.searches += 1
+        self.commits += e.commits
         return array("I", found).tobytes()
 
     def __missing__(self, stretch: str) -> bytes:
