@@ -3,24 +3,32 @@
 Base spans (email, ip, card, phone) are the leftmost non-overlapping matches of fixed patterns that pass their
 check. The model is a character-level bidirectional LSTM with a linear-chain CRF over begin/inside tags, written
 and trained in numpy from labelled spans: carrier texts of the corpus (a bounded, documented sample) into which
-identifiers in many written forms, and look-alikes that are none, are set at known places.
+identifiers in many written forms, and look-alikes that are none, are set at known places. It knows forms that the
+patterns do not hold (``name at host dot com``, phone numbers without a plus, cards with dots, addresses with spaces)
+and one kind more: secrets, such as keys, tokens and passwords with the word that names them.
 
-Every span holds a digit or an at sign, by the labels' definition, so the model reads all windows around such
-characters and no others. Windows overlap; each is run alone, their emissions are weighed by the distance to the
-window's edge, and one CRF decoding over the whole stretch reconciles them. A decoded span is added if it touches
-no base span and its digits pass the kind's check.
+The model reads every character of every text, in overlapping windows on a grid of ``STEP`` characters. Emissions of
+the windows that cover a character are weighed by the distance to each window's edge, and one CRF decoding of the whole
+text reconciles them. That decoding is exact and touches little of the text: from the emissions follows, for each
+character, a bound on what any path could gain by not being outside there; where it is negative the best path is
+outside for certain, and the stretches between are decoded one by one.
+
+A decoded span is added if it has the look of its kind and touches no base span (a secret may hold one).
 
 Offsets are code points, ends exclusive.
 
-Defined cases: a null or empty text has no spans; repeated rows give repeated results; extra columns are ignored
-(or kept, by the masking form); texts of any length are read whole; an empty table gives an empty result, and a
+Defined cases: a null or empty text has no spans; a null id is kept; repeated rows give repeated results; equal starts
+of one kind are in the order of their ends; extra columns are ignored (or kept, by the masking form), whatever their
+names; texts of any length are read whole, in slabs of bounded memory; an empty table gives an empty result, and a
 corpus without text is trained on plain words of its own.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +37,24 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import BATCH_ROWS, map_batches, only
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds that patterns hold, and all.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Window and step of the model, in characters, and how far a window reaches before the first trigger.
-WINDOW, STEP, MARGIN = 64, 32, 24
-#: Documents whose texts serve as carriers in training, and characters taken of each as training material.
+#: Window and step of the model, in characters; length of a training window.
+WINDOW, STEP, LESSON = 192, 152, 96
+#: Characters whose emissions are held at once, and windows that run together.
+SLAB, AT_ONCE = 1 << 17, 1024
+#: Texts that serve as carriers in training, and characters taken of each. They are material to write labelled
+#: spans into, not labelled rows: the labels come from the generator, so more of them teach nothing new.
 CARRIERS, CARRIER_CHARS = 400, 600
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: A run of digits is entered at its start only; a later start could not match where the first does not.
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -96,124 +107,171 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The model.
 
+N_CHARS = 99  # 0 pads
 
-def char_ids(text: str) -> np.ndarray:
-    """Printable ASCII each, other letters together, other characters together, white space together."""
-    out = np.empty(len(text), dtype=np.int64)
-    for i, c in enumerate(text):
-        o = ord(c)
-        out[i] = o - 31 if 32 < o < 127 else 96 if c.isspace() else 97 if c.isalpha() else 98
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """Class of each code point: printable ASCII each, white space, letters, other characters."""
+    out = np.full(1 << 16, 98, dtype=np.uint8)
+    for o in range(1 << 16):
+        if 32 < o < 127:
+            out[o] = o - 31
+        elif chr(o).isspace():
+            out[o] = 96
+        elif chr(o).isalpha():
+            out[o] = 97
     return out
 
 
-N_CHARS = 99  # 0 pads
+def char_ids(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return classes()[np.minimum(points, (1 << 16) - 1)]
+
+
+def softsign(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    np.abs(x, out=out)
+    out += 1
+    return np.divide(x, out, out=out)
+
+
+def gated(z: np.ndarray, h: int, out: np.ndarray) -> np.ndarray:
+    """Gate activations: in, forget and out gates between 0 and 1, the candidate between -1 and 1.
+
+    Softsign stands for both the logistic function and tanh: three passes over an array instead of a power series.
+    """
+    softsign(z, out)
+    out[..., : 3 * h] *= 0.5
+    out[..., : 3 * h] += 0.5
+    return out
 
 
 @dataclass
 class Tagger:
-    """Embedding, one LSTM for each direction (gates i, f, o, g), emission layer and CRF."""
+    """Character table and recurrence of an LSTM in each direction (gates i, f, o, g), emission layer and CRF."""
 
     p: dict[str, np.ndarray]
 
     @staticmethod
-    def fresh(rng: np.random.Generator, width: int = 12, hidden: int = 20) -> Tagger:
-        p = {"E": rng.normal(0, 0.3, (N_CHARS, width))}
-        for d in "fb":
-            p["W" + d] = rng.normal(0, 0.25, (width + hidden, 4 * hidden))
-            p["c" + d] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])
-        p["V"] = rng.normal(0, 0.2, (2 * hidden, len(TAGS)))
-        p["v"] = np.zeros(len(TAGS))
-        p["T"], p["S"] = np.zeros((len(TAGS), len(TAGS))), np.zeros(len(TAGS))
-        return Tagger({k: x.astype(np.float32) for k, x in p.items()})
-
-    def lstm(self, e: np.ndarray, d: str):
-        """e: time, batch, width. Hidden states and what the backward pass needs."""
-        w, c0 = self.p["W" + d], self.p["c" + d]
-        steps, n, _ = e.shape
-        h = w.shape[1] // 4
-        hs, cs = np.zeros((steps + 1, n, h), np.float32), np.zeros((steps + 1, n, h), np.float32)
-        gates = np.empty((steps, n, 4 * h), np.float32)
-        pre = e @ w[: e.shape[2]] + c0
+    def fresh(rng: np.random.Generator, hidden: int = 16) -> Tagger:
+        k = len(TAGS)
+        p = {"X": rng.normal(0, 0.2, (2, N_CHARS, 4 * hidden)), "R": rng.normal(0, 0.2, (2, hidden, 4 * hidden))}
+        p["X"][:, :, hidden : 2 * hidden] += 1.0  # forget little at first
+        p |= {"V": rng.normal(0, 0.2, (2 * hidden, k)), "v": np.zeros(k), "T": np.zeros((k, k)), "S": np.zeros(k)}
+        return Tagger({n: x.astype(np.float32) for n, x in p.items()})
+
+    def states(self, ids: np.ndarray, keep: bool = False):
+        """ids: batch, time. Hidden states (direction, time, batch, hidden), each direction in its own time.
+
+        ``keep``: also cells and gates, for the backward pass.
+        """
+        x, r = self.p["X"], self.p["R"]
+        n, steps = ids.shape
+        h = r.shape[1]
+        both = np.stack([ids.T, ids.T[::-1]])
+        hs = np.zeros((2, steps + 1, n, h), np.float32)
+        cs = np.zeros((2, steps + 1, n, h), np.float32) if keep else None
+        gates = np.empty((2, steps, n, 4 * h), np.float32) if keep else None
+        c, bent = np.zeros((2, n, h), np.float32), np.empty((2, n, h), np.float32)
+        z, open_ = np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 4 * h), np.float32)
         for t in range(steps):
-            z = pre[t] + hs[t] @ w[e.shape[2] :]
-            z[:, : 3 * h] = 1 / (1 + np.exp(-z[:, : 3 * h]))
-            z[:, 3 * h :] = np.tanh(z[:, 3 * h :])
-            cs[t + 1] = z[:, h : 2 * h] * cs[t] + z[:, :h] * z[:, 3 * h :]
-            hs[t + 1] = z[:, 2 * h : 3 * h] * np.tanh(cs[t + 1])
-            gates[t] = z
-        return hs, cs, gates
-
-    def lstm_back(self, e, d, hs, cs, gates, dh_out):
-        w = self.p["W" + d]
-        steps, n, width = e.shape
-        h = w.shape[1] // 4
-        dw, dc0, de = np.zeros_like(w), np.zeros_like(self.p["c" + d]), np.zeros_like(e)
-        dh, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        for t in range(steps - 1, -1, -1):
-            i, f, o, g = (gates[t][:, k * h : (k + 1) * h] for k in range(4))
-            th = np.tanh(cs[t + 1])
-            dh = dh + dh_out[t]
-            dc = dc + dh * o * (1 - th**2)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * cs[t] * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g**2)], axis=1)
-            dw[:width] += e[t].T @ dz
-            dw[width:] += hs[t].T @ dz
-            dc0 += dz.sum(axis=0)
-            dx = dz @ w.T
-            de[t], dh = dx[:, :width], dx[:, width:]
-            dc = dc * f
-        return dw, dc0, de
-
-    def forward(self, ids: np.ndarray):
-        """ids: batch, time. Emissions (time, batch, tags) and the intermediate states."""
-        e = self.p["E"][ids.T]
-        fw = self.lstm(e, "f")
-        bw = self.lstm(e[::-1], "b")
-        both = np.concatenate([fw[0][1:], bw[0][1:][::-1]], axis=2)
-        return both @ self.p["V"] + self.p["v"], (e, fw, bw, both)
+            np.matmul(hs[:, t], r, out=z)
+            z[0] += x[0].take(both[0, t], axis=0)
+            z[1] += x[1].take(both[1, t], axis=0)
+            gated(z, h, open_)
+            c *= open_[..., h : 2 * h]
+            c += np.multiply(open_[..., :h], open_[..., 3 * h :], out=bent)
+            np.multiply(open_[..., 2 * h : 3 * h], softsign(c, bent), out=hs[:, t + 1])
+            if keep:
+                cs[:, t + 1], gates[:, t] = c, open_
+        return (hs, cs, gates, both) if keep else hs
+
+    def emissions(self, hs: np.ndarray) -> np.ndarray:
+        """time, batch, tags."""
+        both = np.concatenate([hs[0, 1:], hs[1, 1:][::-1]], axis=2)
+        return both @ self.p["V"] + self.p["v"]
 
     def loss(self, ids: np.ndarray, tags: np.ndarray):
         """Mean negative log-likelihood per window, and gradients."""
-        em, (e, fw, bw, both) = self.forward(ids)
+        hs, cs, gates, chars = self.states(ids, keep=True)
+        em = self.emissions(hs)
         steps, n, k = em.shape
-        tr, st, y = self.p["T"], self.p["S"], tags.T
-        a = np.empty((steps, n, k), np.float64)
-        b = np.zeros((steps, n, k), np.float64)
-        a[0] = st + em[0]
-        for t in range(1, steps):
-            a[t] = em[t] + lse(a[t - 1][:, :, None] + tr, 1)
+        h = hs.shape[3]
+        tr, st, y = self.p["T"].astype(np.float64), self.p["S"].astype(np.float64), tags.T
+        top = em.max(axis=2, keepdims=True)
+        e, way = np.exp((em - top).astype(np.float64)), np.exp(tr)
+        a, b, c = np.empty((steps, n, k)), np.ones((steps, n, k)), np.empty((steps, n, 1))
+        for t in range(steps):  # forward, each step scaled to a sum of one
+            a[t] = (a[t - 1] @ way if t else np.exp(st)) * e[t]
+            c[t] = a[t].sum(axis=1, keepdims=True)
+            a[t] /= c[t]
         for t in range(steps - 2, -1, -1):
-            b[t] = lse(tr[None] + (em[t + 1] + b[t + 1])[:, None, :], 2)
-        z = lse(a[-1], 1)
+            b[t] = (e[t + 1] * b[t + 1] / c[t + 1]) @ way.T
+        z = np.log(c).sum(axis=(0, 2)) + top.sum(axis=(0, 2))
         r = np.arange(n)
         gold = st[y[0]] + em[np.arange(steps)[:, None], r, y].sum(axis=0) + tr[y[:-1], y[1:]].sum(axis=0)
-        d_em = np.exp(a + b - z[None, :, None])
-        dt = np.zeros_like(tr, dtype=np.float64)
-        for t in range(1, steps):
-            dt += np.exp(a[t - 1][:, :, None] + tr + (em[t] + b[t] - z[:, None])[:, None, :]).sum(axis=0)
+        d_em = a * b
+        dt = way * (a[:-1].reshape(-1, k).T @ (e[1:] * b[1:] / c[1:]).reshape(-1, k))
         np.add.at(dt, (y[:-1].ravel(), y[1:].ravel()), -1)
         ds = d_em[0].sum(axis=0)
         np.add.at(ds, y[0], -1)
         d_em[np.arange(steps)[:, None], r, y] -= 1
         d_em = (d_em / n).astype(np.float32)
-        h = both.shape[2] // 2
-        d_both = d_em @ self.p["V"].T
-        g = {"V": np.einsum("tnh,tnk->hk", both, d_em), "v": d_em.sum(axis=(0, 1)), "T": dt / n, "S": ds / n}
-        g["Wf"], g["cf"], de = self.lstm_back(e, "f", *fw, d_both[:, :, :h])
-        g["Wb"], g["cb"], de_b = self.lstm_back(e[::-1], "b", *bw, d_both[::-1, :, h:])
-        g["E"] = np.zeros_like(self.p["E"])
-        np.add.at(g["E"], ids.T, de + de_b[::-1])
+        out = np.concatenate([hs[0, 1:], hs[1, 1:][::-1]], axis=2)
+        d_out = d_em @ self.p["V"].T
+        g = {"V": np.einsum("tnh,tnk->hk", out, d_em), "v": d_em.sum(axis=(0, 1)), "T": dt / n, "S": ds / n}
+        d_hs = np.stack([d_out[:, :, :h], d_out[::-1, :, h:]])
+        dz = np.empty_like(gates)
+        dh, dc, th = (np.zeros((2, n, h), np.float32) for _ in range(3))
+        slope = lambda gate: 0.5 * (1 - np.abs(2 * gate - 1)) ** 2
+        back = self.p["R"].transpose(0, 2, 1)
+        for t in range(steps - 1, -1, -1):
+            i, f, o, c = (gates[:, t, :, q * h : (q + 1) * h] for q in range(4))
+            th = softsign(cs[:, t + 1], th)
+            dh = dh + d_hs[:, t]
+            dc = dc + dh * o * (1 - np.abs(th)) ** 2
+            dz[:, t, :, :h] = dc * c * slope(i)
+            dz[:, t, :, h : 2 * h] = dc * cs[:, t] * slope(f)
+            dz[:, t, :, 2 * h : 3 * h] = dh * th * slope(o)
+            dz[:, t, :, 3 * h :] = dc * i * (1 - np.abs(c)) ** 2
+            dh = np.matmul(dz[:, t], back)
+            dc = dc * f
+        flat = dz.reshape(2, steps * n, 4 * h)
+        g["R"] = np.matmul(hs[:, :-1].reshape(2, steps * n, h).transpose(0, 2, 1), flat)
+        hot = (chars.reshape(2, steps * n, 1) == np.arange(N_CHARS)).astype(np.float32)
+        g["X"] = np.matmul(hot.transpose(0, 2, 1), flat)
         return float((z - gold).mean()), g
 
-    def decode(self, em: np.ndarray) -> list[int]:
-        """Best tag path for emissions (time, tags)."""
+    def gain(self, em: np.ndarray, first: bool, last: bool) -> np.ndarray:
+        """The most that each position (rows of emissions) can add to a path that is not O there: rows of ``open_stretches``.
+
+        ``first`` and ``last``: the text begins and ends here.
+        """
+        tr = self.p["T"].astype(np.float64) + LEGAL
+        stay, out, start = tr[0, 0], tr[1:, 0] - tr[0, 0], self.p["S"][1:] - self.p["S"][0] + LEGAL[0, 1:]
+        enter, inside = tr[0, 1:] - stay, tr[1:, 1:].max(axis=0) - stay
+        by_tag = np.ascontiguousarray(em.T, dtype=np.float32)
+        more = by_tag[1:] - by_tag[0]
+        ways = (enter, inside, inside + out, enter + out)
+        found = np.stack([(more + x.astype(np.float32)[:, None]).max(axis=0) for x in ways])
+        if first:
+            found[0, 0], found[3, 0] = (more[:, 0] + start).max(), (more[:, 0] + start + out).max()
+        if last:
+            found[2, -1], found[3, -1] = (more[:, -1] + inside).max(), (more[:, -1] + enter).max()
+        if first and last and len(em) == 1:
+            found[3, 0] = (more[:, 0] + start).max()
+        return found
+
+    def decode(self, em: np.ndarray, first: bool = True, last: bool = True) -> list[int]:
+        """Best tag path for emissions (time, tags). Not ``first`` or not ``last``: the text goes on there, outside."""
         tr = self.p["T"] + LEGAL
-        score = self.p["S"] + em[0] + np.where([t.startswith("I") for t in TAGS], -1e9, 0)
+        score = em[0] + (self.p["S"] + LEGAL[0] if first else tr[0])
         back = np.empty(em.shape, dtype=np.int64)
         for t in range(1, len(em)):
             s = score[:, None] + tr
             back[t] = s.argmax(axis=0)
             score = s.max(axis=0) + em[t]
-        path = [int(score.argmax())]
+        path = [int((score if last else score + tr[:, 0]).argmax())]
         for t in range(len(em) - 1, 0, -1):
             path.append(int(back[t][path[-1]]))
         return path[::-1]
@@ -223,12 +281,7 @@ class Tagger:
 LEGAL = np.asarray([[-1e9 if b[0] == "I" and (a == "O" or a[2:] != b[2:]) else 0.0 for b in TAGS] for a in TAGS])
 
 
-def lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
-def train(windows: np.ndarray, tags: np.ndarray, seed: int = 5, steps: int = 220, batch: int = 48, rate: float = 0.02) -> Tagger:
+def train(windows: np.ndarray, tags: np.ndarray, seed: int = 5, steps: int = 600, batch: int = 48, rate: float = 0.04) -> Tagger:
     """Adam with a falling rate and clipped gradients."""
     rng = np.random.default_rng(seed)
     model = Tagger.fresh(rng)
@@ -242,48 +295,67 @@ def train(windows: np.ndarray, tags: np.ndarray, seed: int = 5, steps: int = 220
             d = g[k].astype(np.float32) * min(1.0, 5.0 / max(size, 1e-9))
             m[k] = 0.9 * m[k] + 0.1 * d
             v[k] = 0.99 * v[k] + 0.01 * d**2
-            x -= rate * (1 - 0.9 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            x -= rate * (1 - 0.95 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
     return model
 
 
 # Labelled spans.
 
+LOWER, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+ALNUM = LOWER + LOWER.upper() + "0123456789"
+#: Words that name a secret, and words before strings that look like one.
+SECRET_NAMES = ("token", "secret", "api_key", "apikey", "key", "password", "passwd", "access_key", "auth", "client_secret", "private_key", "access_token")
+HASH_NAMES = ("commit", "sha1", "sha256", "md5", "checksum", "hash", "digest", "etag", "rev", "id", "build", "blob")
 
-def _number(rng, n: int) -> str:
-    return "".join(map(str, rng.integers(0, 10, n)))
 
-
-def _card(rng, good: bool) -> str:
-    body = _number(rng, 15)
-    return body + next(str(d) for d in range(10) if luhn(body + str(d)) == good)
+def drawn(rng: np.random.Generator, letters: str, n: int) -> str:
+    return "".join(letters[i] for i in rng.integers(0, len(letters), n))
 
 
-def _name(rng) -> str:
-    return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9))))
+def _card(rng: np.random.Generator, good: bool) -> str:
+    body = drawn(rng, "0123456789", 15)
+    return body + next(str(d) for d in range(10) if luhn(body + str(d)) == good)
 
 
-def identifier(rng: np.random.Generator, kind: str) -> str:
-    """One identifier in one of its written forms; base patterns match some of them only."""
+def identifier(rng: np.random.Generator, kind: str) -> tuple[str, str, str]:
+    """What stands before, one identifier in one of its written forms, what stands after."""
     pick = lambda *forms: forms[int(rng.integers(len(forms)))]
+    name = lambda: drawn(rng, LOWER, int(rng.integers(3, 10)))
+    number = lambda n: drawn(rng, "0123456789", n)
     if kind == "email":
-        user, host = f"{_name(rng)}{pick('', '.', '_')}{_number(rng, 2)}", f"{_name(rng)}.{pick('com', 'org', 'net')}"
-        return pick(f"{user}@{host}", f"{user}@{_name(rng)}.{host}", f"{user} @ {host}", f"{user}@ {host}")
+        user = name() + pick("", "", f".{name()}", f"_{number(2)}", f".{number(2)}", number(2))
+        host, top = pick(name(), f"{name()}.{name()}", f"mail{number(1)}.{name()}"), pick("com", "org", "net", "de", "fr")
+        a, b = pick(("(at)", "(dot)"), ("[at]", "[dot]"), ("at", "dot"), ("at", "dot"))
+        gap = " " if a == "at" else pick("", " ")
+        spelled = user + gap + a + gap + f"{host}.{top}".replace(".", gap + b + gap)
+        return "", pick(f"{user}@{host}.{top}", f"{user} @ {host}.{top}", f"{user}@ {host}.{top}", spelled, spelled), ""
     if kind == "ip":
-        parts = [str(x) for x in rng.integers(0, 256, 4)]
-        return pick(".", ".", ".", " . ").join(parts)
+        return "", pick(".", ".", " . ").join(str(x) for x in rng.integers(0, 256, 4)), ""
     if kind == "card":
         d = _card(rng, True)
         four = [d[i : i + 4] for i in range(0, 16, 4)]
-        return pick(d, " ".join(four), "-".join(four), ".".join(four), "  ".join(four))
-    a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
-    return pick(f"+1 ({a}) {b}-{c}", f"+{a[0]}{a[1]} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}")
+        return "", pick(d, *(x.join(four) for x in (" ", "-", ".", "  ", "/"))), ""
+    if kind == "phone":
+        a, b, c = number(3), number(3), number(4)
+        return "", pick(f"+1 ({a}) {b}-{c}", f"+{a[:2]} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}.{b}.{c}"), ""
+    n = int(rng.integers(20, 45))
+    value = pick(drawn(rng, HEX, pick(32, 40, 40, 64)), drawn(rng, ALNUM, n), drawn(rng, HEX, n), drawn(rng, ALNUM + "+/", n) + "=")
+    if rng.random() < 0.15:
+        return "", pick("sk_live_", "ghp_", "AKIA", "xoxb-", "glpat-") + drawn(rng, ALNUM, n), ""
+    word = pick(*SECRET_NAMES)
+    word = pick(word, word, word.upper(), f"my_{word}")
+    quote = pick('"', '"', "'", "")
+    return word + pick(" = ", " = ", "=", ": ", " is ", '": ') + quote, value, quote
 
 
 def look_alike(rng: np.random.Generator) -> str:
-    """Digits and at signs that are no personal data."""
-    k = int(rng.integers(8))
+    """Digits, at signs, words and strings that are no personal data."""
+    pick = lambda *forms: forms[int(rng.integers(len(forms)))]
+    name = lambda: drawn(rng, LOWER, int(rng.integers(2, 9)))
+    number = lambda n: drawn(rng, "0123456789", n)
+    k = int(rng.integers(14))
     if k == 0:
-        return "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(16, 41))))
+        return drawn(rng, HEX, int(rng.integers(16, 65)))
     if k == 1:
         return _card(rng, False)
     if k == 2:
@@ -291,107 +363,188 @@ def look_alike(rng: np.random.Generator) -> str:
     if k == 3:
         return f"{rng.integers(0, 30)}.{rng.integers(0, 30)}" + f".{rng.integers(0, 30)}" * int(rng.integers(2))
     if k == 4:
-        return _number(rng, int(rng.integers(1, 9)))
+        return number(int(rng.integers(1, 9)))
     if k == 5:
         return f"{rng.integers(300, 999)}.{rng.integers(300, 999)}.{rng.integers(0, 99)}"
     if k == 6:
-        return f"@{_name(rng)}"
-    return f"{rng.integers(1, 200)},{_number(rng, 3)}.{_number(rng, 2)}"
-
-
-def labelled_windows(carriers: list[str], n: int = 1400, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        return f"@{name()}"
+    if k == 7:
+        return f"{rng.integers(1, 200)},{number(3)}.{number(2)}"
+    if k in (8, 9):
+        quote = pick('"', "'", "")
+        return pick(*HASH_NAMES) + pick(" ", " = ", ": ", "=") + quote + drawn(rng, HEX, pick(32, 40, 64, 24)) + quote
+    if k == 10:
+        return f"{name()} at {name()} " + pick(f"{name()}.", f"{name()}.com", "dot", f"on {name()}", f"the {name()}")
+    if k == 11:
+        word = pick(*SECRET_NAMES)
+        return word + pick(f" = {name()}", f" of the {name()}", f": {name()} {name()}", f' = "{name()}"', f" {number(2)}")
+    if k == 12:
+        return "-".join(drawn(rng, HEX, n) for n in (8, 4, 4, 4, 12))
+    return f"{name()} dot {name()}"
+
+
+def labelled_windows(carriers: list[str], n: int = 3000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Windows of carrier text with identifiers and look-alikes set into them, and their tags."""
     rng = np.random.default_rng(seed)
-    carriers = [c for c in (TRIGGER.sub("", t).strip() for t in carriers) if c] or ["plain words of a text without data"]
-    ids, tags = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
+    bare = (re.sub(r"(?:\S+\s*[=:]\s*)?\S*[0-9@]\S*", "", t).strip() for t in carriers)
+    carriers = [c for c in bare if c] or ["plain words of a text without data"]
+    ids, tags = np.zeros((n, LESSON), np.uint8), np.zeros((n, LESSON), np.int64)
     for i in range(n):
         c = carriers[int(rng.integers(len(carriers)))]
-        at = int(rng.integers(max(1, len(c) - WINDOW)))
-        text, label = "", []
-        before = c[at : at + int(rng.integers(0, 40))]
-        for part in (before, None, c[at + len(before) : at + len(before) + WINDOW]):
-            if part is None:
-                kind = KINDS[int(rng.integers(4))] if rng.random() < 0.6 else None
-                part = identifier(rng, kind) if kind else look_alike(rng)
-                tag = TAGS.index(f"B-{kind}") if kind else 0
-                own = [tag, *[tag + 1] * (len(part) - 1)] if kind else [0] * len(part)
-                edge = " " if text and rng.random() < 0.9 else ""
-                mark = str(rng.choice(["", "", "", ".", ",", "!!", "%%%", ";", ")"])) + (" " if rng.random() < 0.95 else "")
-                text, label = text + edge + part + mark, label + [0] * len(edge) + own + [0] * len(mark)
+        text, label, at = "", [], int(rng.integers(max(1, len(c) - LESSON)))
+        take = int(rng.integers(0, 50)) * (rng.random() < 0.8)
+        while len(text) < LESSON:
+            words = c[at : at + take] or " "
+            at, take = at + take, int(rng.integers(5, LESSON))
+            if text and not text[-1].isspace() and not words[0].isspace():
+                words = " " + words
+            text, label = text + words, label + [0] * len(words)
+            if rng.random() < 0.25:
+                continue
+            if not words[-1].isspace() and rng.random() < 0.9:
+                text, label = text + " ", [*label, 0]
+            if rng.random() < 0.6:
+                kind = KINDS[int(rng.choice(len(KINDS), p=[0.25, 0.14, 0.14, 0.17, 0.3]))]
+                before, found, after = identifier(rng, kind)
+                tag = TAGS.index(f"B-{kind}")
+                own = [0] * len(before) + [tag] + [tag + 1] * (len(found) - 1) + [0] * len(after)
+                part = before + found + after
             else:
-                text, label = text + part, label + [0] * len(part)
-        text, label = text[:WINDOW], label[:WINDOW]
-        ids[i, : len(text)], tags[i, : len(label)] = char_ids(text), label
+                part = look_alike(rng)
+                own = [0] * len(part)
+            mark = str(rng.choice(["", "", "", ".", ",", "!!", "%%%", ";", ")", "###"])) + (" " if rng.random() < 0.95 else "\n")
+            text, label = text + part + mark, label + own + [0] * len(mark)
+        if rng.random() < 0.12:
+            text = "".join(u if len(u := x.upper()) == 1 else x for x in text)
+        ids[i], tags[i] = char_ids(text[:LESSON]), label[:LESSON]
     return ids, tags
 
 
 # Finding.
 
+#: Weight of a window's emission by distance to its edges.
+WEIGHT = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
+
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around triggers, ``MARGIN`` characters to either side, merged where they meet."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged_emissions(model: Tagger, jobs: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
+    """Emissions of each job's characters (all codes of its text, from, to), from all windows that cover them.
+
+    Windows begin at multiples of STEP of the whole text and are padded to their full length, so a character's emissions
+    depend neither on the job nor on other texts.
+    """
+    out = [np.zeros((b - a, len(TAGS)), np.float32) for _, a, b in jobs]
+    weight = [np.zeros((b - a, 1), np.float32) for _, a, b in jobs]
+    where = []
+    for k, (codes, a, b) in enumerate(jobs):
+        last = max(0, -(-(len(codes) - WINDOW) // STEP)) * STEP
+        first = max(0, -(-(a - WINDOW + 1) // STEP)) * STEP
+        where += [(k, s) for s in range(first, min(last, b - 1) + 1, STEP)]
+    for lo in range(0, len(where), AT_ONCE):
+        part = where[lo : lo + AT_ONCE]
+        ids = np.zeros((len(part), WINDOW), np.uint8)
+        for j, (k, s) in enumerate(part):
+            own = jobs[k][0][s : s + WINDOW]
+            ids[j, : len(own)] = own
+        em = model.emissions(model.states(ids))
+        for j, (k, s) in enumerate(part):
+            codes, a, b = jobs[k]
+            x, y = max(s, a), min(s + WINDOW, b, len(codes))
+            if x < y:
+                w = WEIGHT[x - s : y - s, None]
+                out[k][x - a : y - a] += em[x - s : y - s, j] * w
+                weight[k][x - a : y - a] += w
+    for x, w in zip(out, weight, strict=True):
+        x /= w
+    return out
 
 
-#: Weight of a window's emission by distance to its edges.
-WEIGHT = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
+def open_stretches(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches outside of which the best path is O for certain.
+
+    ``gain``: of each character the most that it adds to a path as the first of a span, inside, as the last, and alone.
+    Put together they bound what a span from any a to any b adds to the path that is O there, transitions included. A
+    character around which no such sum is positive lies in no span of the best path.
+    """
+    enter, inside, leave, alone = gain.astype(np.float64)
+    total = np.cumsum(inside)
+    begun = np.maximum.accumulate(enter - total)
+    ended = np.maximum.accumulate((leave + total - inside)[::-1])[::-1]
+    free = alone >= -1e-3
+    free[1:] |= begun[:-1] + ended[1:] >= -1e-3
+    free[:-1] |= begun[:-1] + ended[1:] >= -1e-3
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def tag_spans(path: list[int], at: int) -> list[tuple[str, int, int]]:
+    found, start = [], 0
+    while start < len(path):
+        tag = TAGS[path[start]]
+        end = start + 1
+        while tag != "O" and end < len(path) and TAGS[path[end]] == f"I-{tag[2:]}":
+            end += 1
+        if tag != "O":
+            found.append((tag[2:], at + start, at + end))
+        start = end
+    return found
+
 
+def grouped(jobs: list, chars: int) -> Iterator[list]:
+    """Jobs (text number, codes, from, to) in groups of about ``chars`` characters."""
+    held, n = [], 0
+    for job in jobs:
+        held.append(job)
+        n += job[3] - job[2]
+        if n >= chars:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
-def added_spans(model: Tagger, texts: list[str], at_once: int = 512) -> list[list[tuple[str, int, int]]]:
+
+def added_spans(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """The model's spans of every text, before they are held against the base spans."""
+    codes = [char_ids(t) for t in texts]
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
-    at = 0
-    while at < len(jobs):
-        part, chars = [], 0
-        while at < len(jobs) and (not part or chars + jobs[at][2] - jobs[at][1] <= at_once * STEP):
-            part.append(jobs[at])
-            chars += jobs[at][2] - jobs[at][1]
-            at += 1
-        windows, where = [], []
-        for k, (i, a, b) in enumerate(part):
-            codes = char_ids(texts[i][a:b])
-            for s in range(0, max(1, len(codes) - WINDOW + STEP), STEP):
-                w = np.zeros(WINDOW, np.int64)
-                own = codes[s : s + WINDOW]
-                w[: len(own)] = own
-                windows.append(w)
-                where.append((k, s, len(own)))
-        total = [np.zeros((b - a, len(TAGS)), np.float32) for _, a, b in part]
-        weight = [np.zeros((b - a, 1), np.float32) for _, a, b in part]
-        for lo in range(0, len(windows), at_once):
-            em, _ = model.forward(np.stack(windows[lo : lo + at_once]))
-            for j, (k, s, n) in enumerate(where[lo : lo + at_once]):
-                total[k][s : s + n] += em[:n, j] * WEIGHT[:n, None]
-                weight[k][s : s + n] += WEIGHT[:n, None]
-        for (i, a, _), t, w in zip(part, total, weight, strict=True):
-            path = model.decode(t / w)
-            start = 0
-            while start < len(path):
-                tag = TAGS[path[start]]
-                if tag == "O":
-                    start += 1
-                    continue
-                end = start + 1
-                while end < len(path) and TAGS[path[end]] == f"I-{tag[2:]}":
-                    end += 1
-                found[i].append((tag[2:], a + start, a + end))
-                start = end
+    jobs = [(i, c, a, min(a + SLAB, len(c))) for i, c in enumerate(codes) for a in range(0, len(c), SLAB)]
+    gains: dict[int, list[np.ndarray]] = {}  # of texts longer than a slab
+
+    def decoded(i: int, a: int, em: np.ndarray) -> None:
+        path = model.decode(em, a == 0, a + len(em) == len(codes[i]))
+        found[i] += tag_spans(path, a)
+
+    for group in grouped(jobs, SLAB):
+        for (i, c, x, y), em in zip(group, merged_emissions(model, [j[1:] for j in group]), strict=True):
+            gain = model.gain(em, x == 0, y == len(c))
+            if len(c) > SLAB:
+                gains.setdefault(i, []).append(gain)
+                continue
+            for a, b in open_stretches(gain):
+                decoded(i, a, em[a:b])
+    for i, parts in gains.items():
+        again = [(i, codes[i], a, b) for a, b in open_stretches(np.concatenate(parts, axis=1))]
+        for group in grouped(again, SLAB):
+            for (_, _, a, _), em in zip(group, merged_emissions(model, [j[1:] for j in group]), strict=True):
+                decoded(i, a, em)
     return found
 
 
+EMAIL_FORM = re.compile(
+    r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(]at[\])]|(?<= )at(?= )) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]|(?<= )dot(?= )) ?[A-Za-z0-9-]+)+",
+    re.IGNORECASE,
+)
+SECRET_FORM = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/.=-]{16,}")
+RUN = frozenset(ALNUM + "_+/-")
+NUMBER_FORM = re.compile(r"[+(]?[0-9][0-9\s()./-]*[0-9]")
+
+
 def plausible(kind: str, found: str) -> bool:
     """The check on an added span: the kind's own, on a span with clean ends and no foreign characters."""
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(\s?\.\s?[A-Za-z0-9-]+)+", found))
-    if not re.fullmatch(r"[+(]?[0-9][0-9\s().-]*[0-9]", found):
+        return bool(EMAIL_FORM.fullmatch(found))
+    if kind == "secret":
+        return bool(SECRET_FORM.fullmatch(found))
+    if not NUMBER_FORM.fullmatch(found):
         return False
     if kind == "phone" and len(re.findall(r"[0-9]+", found)) < 3:
         return False
@@ -403,28 +556,48 @@ def find_all(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, added_spans(model, texts), strict=True):
         base = base_spans(text)
-        taken = sorted((a, b) for _, a, b in base)
         fresh = []
         for kind, a, b in more:
+            if kind == "secret":  # to the ends of its run of characters
+                while a > 0 and text[a - 1] in RUN:
+                    a -= 1
+                while b < len(text) and text[b] in RUN:
+                    b += 1
             outside = (text[a - 1 : a] if a else "") + text[b : b + 1]
             alone = not any(c.isalnum() or c in "@+" for c in outside)
-            if alone and plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
+            met = [(x, y) for _, x, y in base if x < b and a < y]
+            free = all(a <= x and y <= b for x, y in met) if kind == "secret" else not met
+            if alone and free and plausible(kind, text[a:b]):
                 fresh.append((kind, a, b))
-        out.append((base, sorted(base + fresh, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
+        out.append((base, sorted(base + list(dict.fromkeys(fresh)), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
 
+@lru_cache(maxsize=4)
+def trained(carriers: tuple[str, ...]) -> Tagger:
+    """One training for the same carriers in a session."""
+    return train(*labelled_windows(list(carriers)))
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carriers: int = CARRIERS) -> Tagger:
-    """Train on ``carriers`` documents, those whose ids hash lowest; ``CARRIER_CHARS`` of each, from a place by hash."""
-    room = F.greatest(F.length(docs[text]) - CARRIER_CHARS, F.lit(1))
-    start = F.pmod(F.xxhash64(docs[doc_id], docs[text]), room).cast("int") + 1
-    rows = (
-        docs.where(docs[text].isNotNull())
-        .select(docs[doc_id].alias("k"), F.substring(docs[text], start, F.lit(CARRIER_CHARS)).alias("t"))
-        .orderBy(F.xxhash64("k"), "k", "t")
+    """Train on ``carriers`` texts, those that hash lowest; ``CARRIER_CHARS`` of each, from a place by hash.
+
+    A bound on the hash, from the number of rows, leaves some times ``carriers`` rows before anything is sent, and
+    equal texts meet as one, so what reaches the driver depends neither on the partitions nor on copies.
+    """
+    rows = docs.select(docs[doc_id].alias("k"), docs[text].alias("t")).where(F.col("t").isNotNull())
+    share = min(1.0, 4.0 * carriers / max(1, rows.count()))
+    h = F.xxhash64("k", "t")
+    room = F.greatest(F.length("t") - CARRIER_CHARS, F.lit(1))
+    sample = (
+        rows.select(h.alias("h"), F.substring("t", F.pmod(h, room).cast("int") + 1, F.lit(CARRIER_CHARS)).alias("t"))
+        .where(F.col("h") <= int(-(2**63) + share * (2**64 - 2**11)))
+        .groupBy("h")
+        .agg(F.min("t").alias("t"))
+        .orderBy("h")
         .limit(carriers)
     )
-    return train(*labelled_windows([r["t"] for r in rows.collect()]))
+    return trained(tuple(r["t"] for r in sample.collect()))
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
@@ -447,11 +620,12 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """The fixed digest columns, from what ``find_personal_data`` returns."""
+    """The fixed digest columns, from what ``find_personal_data`` returns; counts are of base spans."""
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    counts = [of(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    of = lambda c, kind: F.size(F.filter(c, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of("base", k).alias(f"n_{k}") for k in BASE]
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), added)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

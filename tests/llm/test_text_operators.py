@@ -1,5 +1,6 @@
 """Extraction, tokens, codec, URL rules, quality and personal data: edge cases and brute-force twins."""
 
+import itertools
 import random
 import re
 import zlib
@@ -292,18 +293,23 @@ def tagger():
 
 
 def test_tagger_learns_held_out_spans(tagger):
-    ids, tags = pii.labelled_windows(["other words in a text that nobody has seen in training"], 300, seed=99)
-    em, _ = tagger.forward(ids)
-    hit = sum(tagger.decode(em[:, j]) == tags[j].tolist() for j in range(len(ids)))
-    assert hit / len(ids) > 0.8
-
-
-def test_gradients(tagger):
-    m = pii.Tagger.fresh(np.random.default_rng(0), 4, 3)
+    """Of spans that it was not trained on, in text it has not seen: recall and precision."""
+    ids, tags = pii.labelled_windows(["other words in a text that nobody has seen in training"], 400, seed=99)
+    em = tagger.emissions(tagger.states(ids))
+    hit = got_n = want_n = 0
+    for j in range(len(ids)):
+        whole = lambda path: {s for s in pii.tag_spans(path, 0) if s[2] < pii.LESSON}
+        got, want = whole(tagger.decode(em[:, j])), whole(tags[j].tolist())
+        hit, got_n, want_n = hit + len(got & want), got_n + len(got), want_n + len(want)
+    assert hit / want_n > 0.85 and hit / got_n > 0.85
+
+
+def test_gradients():
+    m = pii.Tagger.fresh(np.random.default_rng(0), 5)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     ids, tags = pii.labelled_windows(["words"], 4)
     _, g = m.loss(ids, tags)
-    for k in ("Wf", "Wb", "E", "V", "T", "S"):
+    for k in ("X", "R", "V", "v", "T", "S"):
         at = tuple(int(x) for x in np.unravel_index(np.abs(g[k]).argmax(), g[k].shape))
         old = m.p[k][at]
         ends = []
@@ -311,7 +317,55 @@ def test_gradients(tagger):
             m.p[k][at] = old + step
             ends.append(m.loss(ids, tags)[0])
         m.p[k][at] = old
-        assert (ends[0] - ends[1]) / 2e-3 == pytest.approx(g[k][at], rel=1e-2)
+        assert (ends[0] - ends[1]) / 2e-3 == pytest.approx(g[k][at], rel=1e-2), k
+
+
+def test_decoding_against_all_paths():
+    """The best of all tag paths by trying each, for a text of four characters."""
+    rng = np.random.default_rng(4)
+    m = pii.Tagger.fresh(rng)
+    for k in ("T", "S"):
+        m.p[k] = rng.normal(0, 2, m.p[k].shape).astype(np.float32)
+    few = (0, 1, 2, 3)
+    for _ in range(20):
+        em = np.full((4, len(pii.TAGS)), -100.0)
+        em[:, few] = rng.normal(0, 2, (4, 4))
+
+        def score(path, em=em):
+            steps = sum(m.p["T"][a, b] + pii.LEGAL[a, b] for a, b in zip(path, path[1:], strict=False))
+            return m.p["S"][path[0]] + pii.LEGAL[0, path[0]] + steps + sum(em[t, x] for t, x in enumerate(path))
+
+        best = max(itertools.product(few, repeat=4), key=score)
+        assert m.decode(em) == list(best)
+
+
+def test_decoding_by_stretches_is_decoding_of_the_whole(tagger, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "plain words"]
+    for n in range(40):
+        parts = [w for _ in range(n % 5) for w in (*pii.identifier(rng, pii.KINDS[n % 5]), " ", pii.look_alike(rng), " some words ")]
+        texts.append("words at the start " * (n % 3) + "".join(parts) + "and more " * (n % 7) * 10)
+    for m in (tagger, pii.Tagger.fresh(rng)):
+        whole = []
+        for t in texts:
+            em = pii.merged_emissions(m, [(pii.char_ids(t), 0, len(t))])[0]
+            whole.append(pii.tag_spans(m.decode(em), 0) if t else [])
+        assert pii.added_spans(m, texts) == whole
+        monkeypatch.setattr(pii, "SLAB", 100)
+        assert pii.added_spans(m, texts) == whole
+        monkeypatch.undo()
+
+
+def test_model_adds_what_patterns_do_not_hold(tagger):
+    text = 'write to ann.lee at mail dot example dot org now. token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and more words'
+    far = "plain words of some text that goes on for quite a while " * 400
+    for t in (text, far + text + far):
+        base, spans = pii.find_all(tagger, [t])[0]
+        assert base == [] and {(k, t[a:b]) for k, a, b in spans} == {
+            ("email", "ann.lee at mail dot example dot org"),
+            ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"),
+        }
+    assert pii.find_all(tagger, [far])[0] == ([], [])
 
 
 def test_personal_data_rows(spark, tagger, docs, empty):
@@ -323,5 +377,7 @@ def test_personal_data_rows(spark, tagger, docs, empty):
     assert pii.find_personal_data(docs, model=tagger).count() == len(TEXTS) + 1
     masked = {r.doc_id: r.text for r in pii.mask_personal_data(df, model=tagger).collect()}
     assert masked[0] is None and masked[3] == "x" * 500 + " [IP] " + "y" * 500
-    assert pii.find_personal_data(empty).collect() == []
+    assert pii.find_personal_data(empty, model=tagger).collect() == []
+    clash = df.select("doc_id", "text", F.lit(1).alias("base"), F.lit("q").alias("spans"), F.lit(2).alias("n_ip"))
+    assert {r.doc_id: r.spans for r in pii.span_digests(pii.find_personal_data(clash, model=tagger)).collect()} == {k: r.spans for k, r in found.items()}
     assert pii.masked("abcdef", [("ip", 1, 3), ("card", 2, 4)]) == "a[IP]ef"
