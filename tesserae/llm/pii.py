@@ -42,9 +42,9 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Window and step of the model, in characters; length of a training window.
-WINDOW, STEP, LESSON = 192, 152, 96
+WINDOW, STEP, LESSON = 256, 216, 96
 #: Characters whose emissions are held at once, and windows that run together.
-SLAB, AT_ONCE = 1 << 17, 1024
+SLAB, AT_ONCE = 1 << 18, 2048
 #: Texts that serve as carriers in training, and characters taken of each. They are material to write labelled
 #: spans into, not labelled rows: the labels come from the generator, so more of them teach nothing new.
 CARRIERS, CARRIER_CHARS = 400, 600
@@ -188,8 +188,11 @@ class Tagger:
 
     def emissions(self, hs: np.ndarray) -> np.ndarray:
         """time, batch, tags."""
-        both = np.concatenate([hs[0, 1:], hs[1, 1:][::-1]], axis=2)
-        return both @ self.p["V"] + self.p["v"]
+        h = hs.shape[3]
+        flat = hs[:, 1:].reshape(2, -1, h)
+        out = (flat[0] @ self.p["V"][:h] + self.p["v"]).reshape(*hs[0, 1:].shape[:2], -1)
+        out += (flat[1] @ self.p["V"][h:]).reshape(out.shape)[::-1]
+        return out
 
     def loss(self, ids: np.ndarray, tags: np.ndarray):
         """Mean negative log-likelihood per window, and gradients."""
