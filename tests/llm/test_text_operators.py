@@ -1,5 +1,6 @@
 """Extraction, tokens, codec, URL rules, quality and personal data: edge cases and brute-force twins."""
 
+import collections
 import itertools
 import random
 import re
@@ -243,20 +244,67 @@ def test_quality_counts_and_rows(docs, empty):
     assert quality.keep_good(empty).columns == empty.columns and quality.keep_good(empty).count() == 0
 
 
-def test_em_finds_the_bad_ones():
-    rng = random.Random(0)
-    patterns, truth = {}, {}
-    for _ in range(4000):
+def drawn_votes(n, seed=0):
+    """Patterns of six rules, two of which abstain at times, and whether each document is bad."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
         bad = rng.random() < 0.15
-        votes = "".join("b" if rng.random() < (0.5 if bad else 0.001) else "-" for _ in range(4)) + ("g" if rng.random() < (0.5 if bad else 0.97) else "-")
-        patterns[votes] = patterns.get(votes, 0) + 1
-        truth.setdefault(votes, []).append(bad)
-    model = quality.fit_votes(patterns, 5)
-    right = sum((model.posterior(v) < 0.5) == b for v, bs in truth.items() for b in bs)
-    assert right / 4000 > 0.97 and abs(model.prior - 0.85) < 0.05
+        votes = "".join("b" if rng.random() < (0.6 if bad else 0.02) else "g" for _ in range(6))
+        out.append(("".join("-" if i > 3 and rng.random() < 0.4 else c for i, c in enumerate(votes)), bad))
+    return out
+
+
+def test_em_finds_the_bad_ones():
+    drawn = drawn_votes(4000)
+    patterns = dict(collections.Counter(v for v, _ in drawn))
+    model = quality.fit_votes(patterns, 6)
+    assert sum((model.posterior(v) < 0.5) == bad for v, bad in drawn) / 4000 > 0.97 and abs(model.prior - 0.85) < 0.05
+    assert np.allclose(model.on_good, 0.02, atol=0.02) and np.allclose(model.on_bad, 0.6, atol=0.1)
+    # One bad vote is outweighed, and what is kept does not hang on the start.
+    assert model.posterior("bggggg") > 0.5 > model.posterior("bbbggg")
+    for start in quality.STARTS:
+        other = quality.fit_votes(patterns, 6, starts=(start,))
+        assert all((other.posterior(v) < 0.5) == (model.posterior(v) < 0.5) for v in patterns)
     assert quality.fit_votes({}, 5).posterior("-----") == pytest.approx(0.85)
 
 
+def test_em_against_a_plain_loop_over_documents():
+    drawn = [v for v, _ in drawn_votes(300, seed=2)]
+    prior, wrong, right = 0.7, [0.05] * 6, [0.5] * 6
+    for _ in range(40):
+        p = []
+        for v in drawn:
+            good, bad = prior, 1 - prior
+            for c, w, r in zip(v, wrong, right, strict=True):
+                good *= {"b": w, "g": 1 - w}.get(c, 1)
+                bad *= {"b": r, "g": 1 - r}.get(c, 1)
+            p.append(good / (good + bad))
+        prior = (sum(p) + 1) / (len(p) + 2)
+        for i in range(6):
+            cast = [(v[i], x) for v, x in zip(drawn, p, strict=True) if v[i] != "-"]
+            wrong[i] = (sum(x for c, x in cast if c == "b") + 1) / (sum(x for _, x in cast) + 21)
+            right[i] = max(wrong[i], (sum(1 - x for c, x in cast if c == "b") + 4) / (sum(1 - x for _, x in cast) + 8))
+    model = quality.fit_votes(dict(collections.Counter(drawn)), 6, rounds=40, starts=((0.7, 0.05, 0.5),))
+    assert model.prior == pytest.approx(prior, abs=1e-6) and np.allclose(model.on_good, wrong) and np.allclose(model.on_bad, right)
+    assert model.posterior(drawn[0]) == pytest.approx(
+        prior * np.prod([{"b": w, "g": 1 - w}.get(c, 1) for c, w in zip(drawn[0], wrong, strict=True)])
+        / (prior * np.prod([{"b": w, "g": 1 - w}.get(c, 1) for c, w in zip(drawn[0], wrong, strict=True)])
+           + (1 - prior) * np.prod([{"b": r, "g": 1 - r}.get(c, 1) for c, r in zip(drawn[0], right, strict=True)])), abs=1e-6)
+
+
+def test_posterior_decides_on_documents(spark):
+    """Documents with a bad vote stay where the others outweigh it, and the filter keeps what the query keeps."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.judge_quality(docs).where("not base_failed").collect()
+    cast = [r for r in rows if "b" in r.votes]
+    assert {r.kept for r in cast} == {True, False} and all(r.kept for r in rows if "b" not in r.votes)
+    kept = {r.doc_id for r in rows if r.kept}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
+    clash = docs.withColumn("_votes", F.lit("x")).withColumn("kept", F.lit(1))
+    assert quality.keep_good(clash).columns == clash.columns and quality.keep_good(clash).count() == len(kept)
+
+
 def test_quality_keeps_labelled_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     found = quality.judge_quality(spark.read.parquet(f"{sf}/documents.parquet"))
