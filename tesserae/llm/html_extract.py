@@ -5,14 +5,17 @@ reader comments, ...) are cut out by tag, role, or class and id words. Every rem
 density of characters per tag; a node's score is the sum of its children's densities, and the node with the
 highest score is the core of the text. The threshold is the lowest density on the path from the core to the body:
 what stands beside that path and is at least as dense belongs to the text too, and so do headings that stand before
-it. Bare text and inline elements in a row beside the path are one such part, with a density of their own. If the core
-lies in an ``article`` or ``main`` element, that element is the text.
+it. Bare text and inline elements in a row beside the path are one such part, with a density of their own. Parts too
+short to be dense belong to the text inside a container of the core if they hold few links, and in the body if they lie
+between parts that do. An ``article`` is evidence only: outside of one that holds the core, parts must be as dense as
+the article. Pages whose ``article`` and ``main`` elements are renamed to ``div`` give the same texts on the test pages.
 
 Blocks are joined by two line feeds; inside a block white space becomes one space.
 
 Defined cases: a null or empty page has an empty text; unclosed, stray and missing tags are repaired as browsers
 do for paragraphs, list items and table cells; repeated rows give repeated results; extra columns are ignored;
-pages of any length and depth are read whole, without recursion.
+pages of any length and depth are read whole, without recursion; of nodes with equal scores the first in page order is
+the core; a null id or url is kept; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -332,28 +335,41 @@ def main_text(page: str | None) -> str:
     path = [core]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    if holder := next((x for x in reversed(path) if x.tag in ("article", "main")), None):
-        articles = [x for x in path if x.tag == "article"]
-        return "\n\n".join(blocks_of(articles[-1] if articles else holder, None))
     threshold = min(x.density for x in path)
+    if core is body or not core.score:
+        return "\n\n".join(blocks_of(body, {id(body)}))
     chosen = {id(core)}
     mixed = set()  # nodes that hold a block
     for x in reversed(nodes):
         if x.parent is not None and (x.tag in BLOCKS or id(x) in mixed):
             mixed.add(id(x.parent))
+    outside = False  # of an article that holds the core
     for child, parent in zip(path, path[1:], strict=False):
         gather_runs(parent, child, mixed, ratio)
-        before = True
-        for x in parent.items:
-            before = before and x is not child
-            heads = before and isinstance(x, Node) and x.tag in HEADINGS
-            if isinstance(x, Node) and x is not child and x.chars and (x.density >= threshold or heads):
-                chosen.add(id(x))
-    if core is body or not core.score:
-        chosen = {id(body)}
+        if child.tag == "article":
+            outside, threshold = True, max(threshold, child.density)
+        chosen.update(id(x) for x in beside(parent, child, threshold, outside or parent is body))
     return "\n\n".join(blocks_of(body, chosen))
 
 
+def beside(parent: Node, child: Node, threshold: float, apart: bool) -> list[Node]:
+    """The parts of ``parent`` beside ``child``, a node of the core's path, that belong to the text.
+
+    Dense parts do, and headings before the path. In a container around the core short parts with few links do too: a
+    paragraph of one word is not dense. Where other parts of the page stand (``apart``: in the body, and outside of an
+    article) such parts belong to the text only between two that do.
+    """
+    parts = [x for x in parent.items if isinstance(x, Node) and (x is child or (not x.noise and x.chars))]
+    at = next(i for i, x in enumerate(parts) if x is child)
+    own = [x is child or x.density >= threshold or (i < at and x.tag in HEADINGS) for i, x in enumerate(parts)]
+    if apart:
+        first, last = own.index(True), len(own) - 1 - own[::-1].index(True)
+        own = [o or (first < i < last and not x.link_tags) for i, (o, x) in enumerate(zip(own, parts, strict=True))]
+    else:
+        own = [o or 2 * x.links < x.chars for o, x in zip(own, parts, strict=True)]
+    return [x for o, x in zip(own, parts, strict=True) if o and x is not child]
+
+
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     kind = pages.schema[page_id].dataType.simpleString()

@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 
+import math
+
 import numpy as np
 import pytest
 
@@ -124,10 +126,11 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("depths", [(0.5,), (0.2, 0.6), ()])
-def test_top_k_against_all_products(spark, monkeypatch, depths):
-    monkeypatch.setattr(topk_search, "BLOCK", 64)
-    monkeypatch.setattr(topk_search, "DEPTHS", depths)
+@pytest.mark.parametrize("alone", [0.0, 0.25, 1.0])
+def test_top_k_against_all_products(spark, monkeypatch, alone):
+    monkeypatch.setattr(topk_search, "BLOCK_VALUES", 64 * 6)
+    monkeypatch.setattr(topk_search, "QUERY_VALUES", 5 * 6)
+    monkeypatch.setattr(topk_search, "ALONE", alone)
     rng = np.random.default_rng(1)
     vectors = rng.normal(0, 0.1, (300, 6)).round(2)
     vectors[7] = vectors[3]
@@ -149,6 +152,45 @@ def test_top_k_against_all_products(spark, monkeypatch, depths):
     assert len(few) == 4 and {r.rank for r in few} == {1, 2}
 
 
+def test_top_k_reads_in_steps_and_stops():
+    """Queries stop by themselves before the lists end where the values allow it, and get the exact answer."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-5, 6, (4000, 4))
+    x[:40] = rng.integers(200, 400, (40, 4))  # few rows far ahead
+    lists = topk_search.SortedLists(np.arange(4000), x)
+    assert list(lists.depths())[0] == 2000 and list(lists.depths())[-1] == 4000
+    q = np.abs(rng.integers(1, 9, (30, 4)))
+    found = lists.search(np.full(30, -1), q, 5)
+    for i, (rows, score) in enumerate(found):
+        want = sorted((-int(q[i] @ v), j) for j, v in enumerate(x))[:5]
+        assert [(-s, int(j)) for s, j in zip(score, rows, strict=True)] == want
+    assert min(lists.read) < 1 and len(lists.read) == 30
+    floors = np.asarray([float(s[-1]) for _, s in found])
+    again = lists.search(np.full(30, -1), q, 5, floors)
+    assert all((a[0] == b[0]).all() and a[1] == b[1] for a, b in zip(found, again, strict=True))
+    none = lists.search(np.full(30, -1), q, 5, floors + 1e6)
+    assert all(len(rows) == 0 for rows, _ in none)
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond what doubles and longs hold: exact order, and the nearest long as the score."""
+    rng = np.random.default_rng(4)
+    big = rng.normal(0, 1e9, (40, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(big)] + [(40, [1e300, -1e300, 0.0]), (41, [0.5, 0.25, -1.0]), (60, [-1e300, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+
+    got = sorted(map(tuple, topk_search.top_k(df, F.col("id") % 20 == 0, k=6).collect()))
+    held = lambda x: math.floor(min(max(64 * x, -(2.0**63)), float(2**63 - 1024)))
+    v = {i: [held(x) for x in e] for i, e in rows}
+    want = []
+    for i in (0, 20, 40, 60):
+        best = sorted((-sum(a * b for a, b in zip(v[i], v[j], strict=True)), j) for j in v if j != i)[:6]
+        want += [(i, k + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+
 BAD, FINE = ["vile", "rotten", "nasty"], [f"word{i}" for i in range(300)]
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 import re
 import zlib
@@ -44,6 +45,22 @@ def test_token_counts_equal_the_library(docs, empty):
     assert token_count.count_tokens(empty, WORD_BPE).collect() == []
 
 
+def test_ids_and_counts_of_every_ascii_character():
+    """Alone, in pairs, and in random strings, against the library's own ids."""
+    tok = Tokenizer.from_file(WORD_BPE)
+    rng = random.Random(12)
+    ascii_ = [chr(i) for i in range(128)]
+    pool = [*ascii_, *"éßñüœ\u3000漢字😀İıſ\x85", "<|endoftext|>", "'s"]
+    cases = [*ascii_, *("a" + c + "b" for c in ascii_), *(a + b for a in ascii_ for b in ascii_)]
+    cases += ["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(5000)]
+    words, counts = packing.word_ids(WORD_BPE), token_count.counter(WORD_BPE)
+    for t, made in zip(cases, tok.encode_batch(cases, add_special_tokens=False), strict=True):
+        assert np.frombuffer(words.ids(t), "<u4").tolist() == made.ids, t
+        assert counts.count(t) == len(made.ids), t
+    with pytest.raises(ValueError):
+        words.of_piece[" "]
+
+
 def test_merge_count_follows_ranks():
     ranks = {("a", "b"): 1, ("b", "c"): 0, ("a", "bc"): 2, ("ab", "c"): 3}
     assert token_count.merge_count(list("abc"), ranks) == 1
@@ -132,6 +149,23 @@ def test_codec_equals_the_library(docs, empty):
         assert c.encode(s) == sp.encode(s), s
 
 
+def test_stretches_go_through_the_stream():
+    """Every id comes from the streaming search, whose window stays bounded; ids are committed where paths meet."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    c = sentencepiece_codec.Codec(PIECE_BPE)
+    texts = ["short words only here", "Donaudampfschifffahrtsgesellschaft internationalizationalism", "ab" * 5000]
+    assert [c.encode(t) for t in texts] == [sp.encode(t) for t in texts]
+    assert c.marked.searches >= 7 and c.marked.commits > 100
+    e = sentencepiece_codec.StreamingEncoder(c.pieces)
+    for ch in "▁" + "internationalizationof" * 2000:  # one character at a time
+        e.feed(ch)
+        assert len(e.last) <= 3 * c.pieces.longest
+    before = len(e.out)
+    assert before > 2000 and e.finish() == sp.encode("internationalizationof" * 2000)
+
+
 def test_streaming_window_is_bounded_and_unigram_is_best():
     scores = {"a": -1.0, "b": -1.2, "ab": -1.5, "ba": -1.9, "aba": -3.3, "bb": -3.0}
     p = sentencepiece_codec.Pieces(scores, {k: i for i, k in enumerate(scores)}, [], 9, True)
@@ -180,6 +214,61 @@ def test_main_text_beside_the_core():
     assert f(f"<body>{links}<h1>Top</h1>{long}<br>{long}{core}{long}</body>") == want
 
 
+def recursive_density(node):
+    """(characters, tags, link characters, link tags) of a tree by the definition, and every node's own."""
+    found = {}
+
+    def walk(x):
+        c = t = lc = lt = 0
+        for i in x.items:
+            if isinstance(i, str):
+                c += len(re.sub(r"\s", "", i))
+            elif not i.noise:
+                a = walk(i)
+                c, t, lc, lt = c + a[0], t + 1 + a[1], lc + a[2], lt + a[3]
+        if x.tag == "a":
+            lc, lt = c, lt + 1
+        found[id(x)] = (c, t, lc, lt)
+        return found[id(x)]
+
+    walk(node)
+    return found
+
+
+def test_density_against_the_definition():
+    rng = random.Random(5)
+    for _ in range(30):
+        part = lambda: "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<a href=x>link</a>", "<b>", "</b>", "some words ", "x", "<br>", "<ul><li>", "<nav>n</nav>"]) for _ in range(40))  # noqa: E731, E501
+        root = html_extract.parse(part())
+        nodes = html_extract.in_order(root)
+        html_extract.mark_noise(nodes)
+        ratio = html_extract.measure(nodes)
+        want = recursive_density(root)
+        for x in nodes:
+            if x.noise or not x.chars:
+                continue
+            c, t, lc, lt = want[id(x)]
+            assert (x.chars, x.tags, x.links, x.link_tags) == (c, t, lc, lt)
+            t, lc1, lt1 = max(1, t), max(1, lc), max(1, lt)
+            scale = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
+            assert x.density == pytest.approx(c / t * max(0.0, math.log(max(1.0, c / lc1 * t / lt1)) / math.log(scale)), rel=1e-9) if math.log(scale) > 0 else True
+            kids = [i for i in x.items if isinstance(i, html_extract.Node) and not i.noise and i.chars]
+            assert x.score == pytest.approx(sum(k.density for k in kids))
+
+
+def test_density_chooses_without_telling_names():
+    """No article, main, class or role: the densest subtree and the body path's threshold choose."""
+    f, long = html_extract.main_text, "a long paragraph of the page's own text, which goes on for a while " * 4
+    links = "".join(f"<a href=/{i}>page {i}</a> " for i in range(12))
+    page = f"<body><div>{links}</div><div><div><h2>Head</h2><p>{long}</p><p>Yes.</p><p>{long}<a href=z>a link</a></p><p>End.</p></div><div>{links}</div></div><div>{links}</div></body>"
+    assert f(page) == "\n\n".join(["Head", long.strip(), "Yes.", long + "a link", "End."])
+    # Which of two blocks is the text is a matter of density alone.
+    words = "<p>" + "words of some text in one block " * 8 + "</p>"
+    assert "words" in f(f"<body><div>{words * 3}</div><div>{links}</div></body>") and "page 3" not in f(f"<body><div>{words * 3}</div><div>{links}</div></body>")
+    # The article element is evidence, not the answer: an empty one beside the text does not hide it.
+    assert f(f"<body><article><a href=x>read</a></article><div>{words * 3}</div></body>").count("one block") == 24
+
+
 def test_main_text_in_a_form():
     f = html_extract.main_text
     inner = "<input><label>Find</label><button>Go</button><article><h1>Head</h1><p>Text of the page.</p><form><input>Send</form></article>"
