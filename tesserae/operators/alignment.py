@@ -56,11 +56,17 @@ def suppress(boxes: DataFrame, by: list[str], least: float) -> DataFrame:
     return boxes.groupBy(*by).applyInPandas(one, boxes.schema)
 
 
-def gravity_up(centres: np.ndarray, ups: np.ndarray) -> np.ndarray:
-    """The up direction: that of least spread of the camera ups about a plane, turned to their side."""
-    _, _, vt = np.linalg.svd(ups - 0 * centres[:1], full_matrices=False)
-    up = vt[0]
-    return up if up @ ups.mean(axis=0) > 0 else -up
+def gravity_up(rights: np.ndarray, downs: np.ndarray, turn: float = 0.2) -> np.ndarray:
+    """The unit up direction in a model's world, from the cameras' right and down axes there (n, 3 each).
+
+    A camera held level has its right axis at right angles to up, so up is the direction in which the right axes spread
+    least, on the side that the cameras' tops point to. If the cameras hardly turn (the second spread is under ``turn``
+    of the first), that direction is not determined, and up is the mean of the cameras' own.
+    """
+    mean = -downs.mean(axis=0)
+    _, spread, directions = np.linalg.svd(rights)
+    up = mean if len(spread) < 2 or spread[1] < turn * spread[0] else directions[2] * np.sign(directions[2] @ mean)
+    return up / np.linalg.norm(up)
 
 
 def frame_of(up: np.ndarray, heading: np.ndarray) -> np.ndarray:

@@ -82,7 +82,8 @@ def object_facts(masks: DataFrame, points: DataFrame, looks: DataFrame) -> DataF
 
 def _greedy(facts: DataFrame, rates: DataFrame | None, families: DataFrame, step) -> DataFrame:
     """run, node, kept from ``step(facts of a run, rates of it, apart groups)``."""
-    rates = facts.sparkSession.createDataFrame([], "run bigint, rate double, a bigint, b bigint") if rates is None else rates
+    kind = facts.schema["run"].dataType.simpleString()
+    rates = facts.sparkSession.createDataFrame([], f"run {kind}, rate double, a bigint, b bigint") if rates is None else rates
     held = facts.join(families, ["run", "node"], "left")
     other = rates.select(F.col("run").alias("_run"), "rate", "a", "b")
 
@@ -93,7 +94,7 @@ def _greedy(facts: DataFrame, rates: DataFrame | None, families: DataFrame, step
         final = step(things.set_index("node"), list(zip(pairs["rate"], pairs["a"], pairs["b"], strict=True)), apart)
         return pd.DataFrame({"run": things["run"].iloc[0], "node": list(final), "kept": list(final.values())})
 
-    return held.groupBy("run").cogroup(other.groupBy("_run")).applyInPandas(one, "run bigint, node bigint, kept bigint")
+    return held.groupBy("run").cogroup(other.groupBy("_run")).applyInPandas(one, f"run {kind}, node bigint, kept bigint")
 
 
 def _box(t) -> np.ndarray:

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 AXES = ("x", "y", "z")
 
 
-def fit_box(points: DataFrame, by: str = "node", least: int = 50) -> DataFrame:
+def keys(by: str | list[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def fit_box(points: DataFrame, by: str | list[str] = "node", least: int = 50) -> DataFrame:
     """Box between the 2nd and 98th percentile (inverted distribution function); plain bounds under ``least`` points."""
     exact = []
     for k in AXES:
         for e, q, plain in (("l", 0.02, F.min), ("h", 0.98, F.max)):
             disc = F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {k})")
             exact.append(F.when(F.count("*") < least, plain(k)).otherwise(disc).alias(e + k))
-    return points.groupBy(by).agg(F.count("*").alias("n"), *exact)
+    return points.groupBy(*keys(by)).agg(F.count("*").alias("n"), *exact)
 
 
 def linear_box(points: DataFrame, by: str = "node", trim: float = 0.005) -> DataFrame:
@@ -59,11 +63,14 @@ def spread_sample(points: DataFrame, k: int, order: list[str], by: str = "node")
     """At most k rows of each group, evenly spaced over its order: places int(i * (n - 1) / (k - 1)), ends included."""
     w = Window.partitionBy(by)
     placed = points.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    # Row p is the i-th place if floor(i * step) = p for the i next to p / step; the last row is the last place.
     m = F.least(F.col("_n"), F.lit(k))
     step = (F.col("_n") - 1).cast("double") / F.greatest(m - 1, F.lit(1))
-    place = lambda i: F.when(i == m - 1, F.when(m == 1, 0).otherwise(F.col("_n") - 1)).otherwise(F.floor(i * step))
-    wanted = F.transform(F.sequence(F.lit(0), m - 1), lambda i: place(i).cast("int"))
-    return placed.where(F.array_contains(wanted, F.col("_at").cast("int"))).drop("_n").withColumnRenamed("_at", "place")
+    near = F.floor(F.col("_at") / F.when(step > 0, step).otherwise(1.0))
+    is_place = lambda i: (i >= 0) & (i < m - 1) & (F.floor(i * step) == F.col("_at"))
+    ends = (F.col("_at") == F.col("_n") - 1) & (m > 1) | (F.col("_at") == 0)
+    wanted = ends | is_place(near) | is_place(near + 1)
+    return placed.where(wanted).drop("_n").withColumnRenamed("_at", "place")
 
 
 def strided(frames: DataFrame, column: str, step: int) -> DataFrame:
@@ -75,20 +82,32 @@ def reliable(masks: DataFrame, confidence: float = 2.5):
     return (masks["n_points"] > 0) & (masks["conf"].isNull() | (masks["conf"] >= confidence))
 
 
-def most_confident(masks: DataFrame, by: str = "node") -> DataFrame:
+SIDES = tuple(e + k for e in "lh" for k in AXES)
+
+
+def most_confident(masks: DataFrame, by: str | list[str] = "node") -> DataFrame:
     """The mask with points and the highest confidence of each group; unknown counts least, ties to the first mask."""
     key = F.struct(F.coalesce("conf", F.lit(float("-inf"))).alias("c"), (-F.col("mask")).alias("m"))
-    best = F.max_by(F.struct("mask", "lx", "hx"), key).alias("b")
-    return masks.where(F.col("n_points") > 0).groupBy(by).agg(best).select(by, "b.*")
-
-
-def node_box(masks: DataFrame, by: str = "node") -> DataFrame:
-    """Bounds of the reliable masks' boxes; without any, the most confident mask's box."""
-    good = reliable(masks)
-    pooled = masks.groupBy(by).agg(
-        F.min(F.when(good, F.col("lx"))).alias("plx"), F.max(F.when(good, F.col("hx"))).alias("phx")
-    )
-    best = most_confident(masks, by).select(by, F.col("lx").alias("blx"), F.col("hx").alias("bhx"))
-    return pooled.join(best, by, "left").select(
-        by, F.coalesce("plx", "blx").alias("lx"), F.coalesce("phx", "bhx").alias("hx")
-    )
+    best = F.max_by(F.struct("mask", *[c for c in SIDES if c in masks.columns]), key).alias("b")
+    return masks.where(F.col("n_points") > 0).groupBy(*keys(by)).agg(best).select(*keys(by), "b.*")
+
+
+def corners(masks: DataFrame, by: list[str]) -> DataFrame:
+    """by, x, y, z: the two corners of each mask's box."""
+    corner = lambda e: F.struct(*[F.col(e + k).alias(k) for k in AXES])
+    return masks.select(*by, F.explode(F.array(corner("l"), corner("h"))).alias("p")).select(*by, "p.*")
+
+
+def node_box(masks: DataFrame, by: str | list[str] = "node", points: DataFrame | None = None) -> DataFrame:
+    """by and bounds: the trimmed box of the points of reliable masks; without any, the most confident mask's box.
+
+    masks: by, mask, n_points, conf and bounds. points: run, mask, x, y, z; None: the masks' corners.
+    """
+    by = keys(by)
+    good = masks.where(reliable(masks))
+    cloud = corners(good, by) if points is None else good.select(*by, "mask").join(points, ["run", "mask"])
+    pooled = fit_box(cloud, by).drop("n")
+    best = most_confident(masks, by).drop("mask")
+    fallback = best.select(*by, *[F.col(c).alias(f"_{c}") for c in SIDES])
+    own = F.col("lx").isNotNull()
+    return pooled.join(fallback, by, "full_outer").select(*by, *[F.when(own, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in SIDES])

@@ -16,12 +16,31 @@ def object_embeddings(masks: DataFrame, by: str = "id", vector: str = "embedding
     return total.select(by, F.transform("total", lambda x: x / length).alias("embedding"))
 
 
+#: Queries that are sent to every task, and queries in a block beyond that.
+FEW, BLOCK = 10_000, 4096
+
+
+def met(queries: DataFrame, objects: DataFrame) -> DataFrame:
+    """Every query beside every object: a stated query set against all rows.
+
+    Few queries are broadcast. More are dealt to blocks by hash; objects are copied once for each block, not for each
+    query, and both sides meet by the block's number.
+    """
+    n = queries.count()
+    if n <= FEW:
+        return small_side(queries, FEW).join(objects)
+    blocks = -(-n // BLOCK)
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    copies = objects.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.join(copies, "_block").drop("_block")
+
+
 def rank(queries: DataFrame, objects: DataFrame) -> DataFrame:
     """query, id, score, rank: every object for every query by cosine, ties to the smaller id.
 
-    queries: query, q. objects: id, embedding. The queries are the small side, and checked to be.
+    queries: query, q. objects: id, embedding.
     """
-    score = small_side(queries, 10_000).join(objects).select("query", "id", dot(F.col("q"), F.col("embedding")).alias("score"))
+    score = met(queries, objects).select("query", "id", dot(F.col("q"), F.col("embedding")).alias("score"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return score.withColumn("rank", F.row_number().over(order))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import box
-from tesserae.functions.plan import grid_pairs, prefixed
+from tesserae.functions.plan import grid_pairs, prefixed, small_side
 
 CELL = 1.0
 
@@ -42,6 +42,12 @@ def edges(nodes: DataFrame) -> DataFrame:
     ).where(F.col("relation").isNotNull())
 
 
+def listing(found: DataFrame) -> DataFrame:
+    """run, place and the edge: resting pairs first, then by ends."""
+    order = Window.partitionBy("run").orderBy(F.col("relation") != "on", "a", "b")
+    return found.withColumn("place", F.row_number().over(order))
+
+
 def edge_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("relation").agg(F.count("*").alias("n"))
 
@@ -70,7 +76,7 @@ def related(found: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
 def nearest(nodes: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """run, anchor, node, rank: the k boxes nearest to each run's anchor by (gap in hundredths, centre, id)."""
     a = prefixed(anchors, "a_", ["run"])
-    met = prefixed(nodes.where(box.finite("")), "b_", ["run"]).join(F.broadcast(a), "run")  # an anchor for each run
+    met = prefixed(nodes.where(box.finite("")), "b_", ["run"]).join(small_side(a, 10_000), "run")  # an anchor for each run
     order = Window.partitionBy("run").orderBy("g", "c", "b_node")
     return (
         met.where(F.col("a_node") != F.col("b_node"))

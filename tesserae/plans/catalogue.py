@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.plans import graph_queries, mask_queries, scene_queries
+from tesserae.plans import graph_queries, mask_queries, object_queries, scene_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (scene_queries, mask_queries, graph_queries):
+for _module in (scene_queries, mask_queries, graph_queries, object_queries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

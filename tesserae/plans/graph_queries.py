@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tesserae.operators import evals, geometry, masks, refine
+from tesserae.operators import evals, geometry, masks, refine, truth
 from tesserae.plans.mask_queries import FRAME, PAIRS
 from tesserae.plans.registry import Registry
 from tesserae.plans.scene_queries import EMB, _emb
@@ -93,8 +93,9 @@ def wall_direction(spark, sf_dir):
 SELECT seq, round(sqrt(avg(e)), 6) AS rms FROM p GROUP BY seq""")
 def camera_path_rms(spark, sf_dir):
     rows = scene.read(spark, sf_dir, "lineitem")
-    away = F.pow(F.col("l_quantity") - F.col("l_linenumber"), 2.0) + F.pow("l_discount", 2.0) + F.pow("l_tax", 2.0)
-    return rows.groupBy(F.col("l_suppkey").alias("seq")).agg(F.round(F.sqrt(F.avg(away)), 6).alias("rms"))
+    path = rows.select(F.col("l_suppkey").alias("seq"), "l_quantity", "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("t"), F.lit(0.0).alias("zero"))
+    found = truth.path_rms(path, ["seq"], ["l_quantity", "l_discount", "l_tax"], ["t", "zero", "zero"])
+    return found.withColumn("rms", F.round("rms", 6))
 
 
 @register("""SELECT l_suppkey AS seq, l_linenumber AS v, count(*) AS n,

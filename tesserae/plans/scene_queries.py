@@ -216,18 +216,24 @@ def reliable_filter(spark, sf_dir):
     return masks.where(points.reliable(masks)).select("mask", "node")
 
 
-BEST = """best AS (SELECT node, mask, lx, hx FROM mask_boxes WHERE n_points > 0
+SIDES = ("lx", "ly", "lz", "hx", "hy", "hz")
+BEST = f"""best AS (SELECT node, mask, {", ".join(SIDES)} FROM mask_boxes WHERE n_points > 0
   QUALIFY row_number() OVER (PARTITION BY node ORDER BY coalesce(conf, '-infinity'::DOUBLE) DESC, mask) = 1)"""
 
 
-@register(f"WITH {scene.MASK_BOXES}, {BEST} SELECT node, mask, lx, hx FROM best")
+@register(f"WITH {scene.MASK_BOXES}, {BEST} SELECT * FROM best")
 def most_confident(spark, sf_dir):
     return points.most_confident(scene.mask_boxes(spark, sf_dir))
 
 
-@register(f"""WITH {scene.MASK_BOXES}, {BEST}, pooled AS (SELECT node, min(lx) FILTER (WHERE ok) AS lx, max(hx) FILTER (WHERE ok) AS hx
-  FROM (SELECT *, n_points > 0 AND (conf IS NULL OR conf >= 2.5) AS ok FROM mask_boxes) GROUP BY node)
-SELECT pooled.node, coalesce(pooled.lx, best.lx) AS lx, coalesce(pooled.hx, best.hx) AS hx FROM pooled LEFT JOIN best USING (node)""")
+def trimmed(column, q, plain):
+    return f"CASE WHEN count(*) < 50 THEN {plain}({column}) ELSE quantile_disc({column}, {q}) END"
+
+
+@register(f"""WITH {scene.MASK_BOXES}, {BEST},
+p AS (SELECT node, unnest([lx, hx]) AS x, unnest([ly, hy]) AS y, unnest([lz, hz]) AS z FROM mask_boxes WHERE n_points > 0 AND (conf IS NULL OR conf >= 2.5)),
+pooled AS (SELECT node, {", ".join(f"{trimmed(k, q, f)} AS {e}{k}" for k in "xyz" for e, q, f in (("l", 0.02, "min"), ("h", 0.98, "max")))} FROM p GROUP BY node)
+SELECT best.node, {", ".join(f"coalesce(pooled.{c}, best.{c}) AS {c}" for c in SIDES)} FROM best LEFT JOIN pooled USING (node)""")
 def node_box(spark, sf_dir):
     return points.node_box(scene.mask_boxes(spark, sf_dir))
 

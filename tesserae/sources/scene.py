@@ -110,12 +110,18 @@ def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 11).alias("n_points"),
         F.when(key % 7 != 0, (key % 41) * 0.125).cast("double").alias("conf"),
         lx.cast("double").alias("lx"),
+        ((key % 32) * 0.25).cast("double").alias("ly"),
+        ((key % 5) * 0.5).cast("double").alias("lz"),
         (lx + (1 + key % 3) * 0.25).cast("double").alias("hx"),
+        ((key % 32) * 0.25 + (1 + key % 4) * 0.125).cast("double").alias("hy"),
+        ((key % 5) * 0.5 + 0.75).cast("double").alias("hz"),
     )
 
 
 MASK_BOXES = """mask_boxes AS (
   SELECT o_orderkey AS mask, o_custkey % 40 AS node, o_orderkey % 90 AS frame, o_orderkey % 11 AS n_points,
          CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 41) * 0.125::DOUBLE END AS conf,
-         (o_orderkey % 64) * 0.125::DOUBLE AS lx, (o_orderkey % 64) * 0.125::DOUBLE + (1 + o_orderkey % 3) * 0.25::DOUBLE AS hx
+         (o_orderkey % 64) * 0.125::DOUBLE AS lx, (o_orderkey % 64) * 0.125::DOUBLE + (1 + o_orderkey % 3) * 0.25::DOUBLE AS hx,
+         (o_orderkey % 32) * 0.25::DOUBLE AS ly, (o_orderkey % 32) * 0.25::DOUBLE + (1 + o_orderkey % 4) * 0.125::DOUBLE AS hy,
+         (o_orderkey % 5) * 0.5::DOUBLE AS lz, (o_orderkey % 5) * 0.5::DOUBLE + 0.75::DOUBLE AS hz
   FROM orders)"""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import alignment, build
+from tesserae.operators import alignment, build, truth
 
 
 def blob(rng, centre, n=40):
@@ -96,8 +96,57 @@ def test_world_from_camera_and_axes():
     assert np.allclose(q @ out[:3, 3] + [1, 2, 3], 0) and np.allclose(out[:3, :3], q.T)
     turn = alignment.frame_of(np.array([0, 0, 1.0]), np.array([0, 2.0, 1.0]))
     assert np.allclose(turn @ turn.T, np.eye(3)) and np.allclose(turn[0], [0, 1, 0])
-    up = alignment.gravity_up(np.zeros((4, 3)), np.array([[0, 0.1, 1], [0.1, 0, 1], [0, -0.1, 1], [-0.1, 0, 1.0]]))
-    assert up[2] > 0.99
+
+
+def level_camera(heading, pitch, up):
+    """Right, down and view axes of a camera that is level about ``up``, turned by ``heading`` and tilted by ``pitch``."""
+    base = alignment.frame_of(up, np.array([0.3, 0.9, 0.2]))
+    flat = np.cos(heading) * base[0] + np.sin(heading) * base[1]
+    right = np.cross(flat, up)
+    view = np.cos(pitch) * flat + np.sin(pitch) * up
+    return np.stack([right, np.cross(view, right), view])
+
+
+def test_gravity_of_cameras_that_turn_about_one_axis():
+    up = np.array([0.2, -0.5, 0.8]) / np.linalg.norm([0.2, -0.5, 0.8])
+    # All look down steeply: their own ups lean to the side they look to, their right axes do not.
+    axes = np.stack([level_camera(h, -0.9, up) for h in np.linspace(0, 2, 9)])
+    assert np.allclose(alignment.gravity_up(axes[:, 0], axes[:, 1]), up)
+    still = np.stack([level_camera(0.4, 0.1, up)] * 5)
+    assert np.allclose(alignment.gravity_up(still[:, 0], still[:, 1]), -still[0, 1])
+    one = alignment.gravity_up(axes[:1, 0], axes[:1, 1])
+    assert np.allclose(one, -axes[0, 1])
+
+
+def test_alignment_of_a_room():
+    """A box-shaped room seen from inside: z comes up, x goes along a wall, and errors against the truth are small."""
+    up = np.array([0.1, 0.3, 0.9]) / np.linalg.norm([0.1, 0.3, 0.9])
+    room = alignment.frame_of(up, np.array([1.0, 0.2, 0.0]))  # the walls, in the model's world
+    centres = np.array([[0.1 * i, 0.05 * i * i, 0.02 * i] for i in range(8)])
+    cameras = []
+    for i, c in enumerate(centres):
+        r = level_camera(0.3 + 0.4 * i, -0.2, up)
+        cameras.append(np.concatenate([r, (-r @ c)[:, None]], axis=1))
+    cameras = np.stack(cameras)
+    walls = lambda turn: np.repeat(np.stack([room[0], room[1], -room[0], room[2]]), 50, axis=0) @ turn.T
+    sim3 = truth.alignment(cameras, alignment.gravity_up(cameras[:, 0, :3], cameras[:, 1, :3]), 2.0, walls)
+    assert np.allclose(sim3[2, :3], 2 * up) and np.isclose(abs(sim3[:3, :3] @ room[0] / 2).max(), 1)
+    true = 2 * centres @ room.T + [4, 5, 6]
+    errors = truth.alignment_errors(centres, true, sim3, 0.0)
+    assert all(abs(v) < 1e-3 for v in errors.values())
+    tilted = truth.alignment_errors(centres, true, 1.1 * sim3, np.radians(3))
+    assert np.isclose(tilted["scale_error"], 0.1) and np.isclose(tilted["wall_error_deg"], 3)
+    fit, rms = truth.truth_frame(None)
+    assert (fit == np.eye(4)).all() and rms == 0
+
+
+def test_normals_of_a_slanted_wall():
+    k = np.array([[50.0, 0, 20], [0, 50, 15], [0, 0, 1]])
+    u = np.indices((30, 40))[1]
+    normal = np.array([0.6, 0.0, -0.8])
+    depth = -1.6 / (normal[0] * (u - 20) / 50 + normal[2])  # the plane normal . p = -1.6
+    found = truth.depth_normals(depth, k, np.eye(3))
+    assert len(found) == 28 * 38 and np.allclose(abs(found @ normal), 1, atol=1e-6)
 
 
 def test_metric_scale_and_truth_boxes(spark):
