@@ -57,10 +57,13 @@ def global_index(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def shared_folder(spark) -> str:
-    """The cluster's shared folder for checkpoints; one of our own where none is set."""
+    """The cluster's shared folder for checkpoints. Only a session on one machine gets a folder of its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cuts-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuts-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
