@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of its predecessor. All but the last return the columns
 of ``documents``; what a stage rejects is gone, and masked text is what the next stage reads.
+
+Defined cases: rows are judged as rows, so null and repeated ids are kept apart; a null or empty text has too few words
+for the first stage and goes; an empty table gives an empty result; extra columns are carried to the last stage, which
+returns pieces. Ties are decided as each operator states.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ Rules are parameters of the operator (text in the syntax of ad-blocking lists),
 with the data.
 
 Defined cases: a null URL has an empty host and path, no rule and verdict ``allow``; so has a URL without
-``://`` as far as host and path go, while pattern rules still see the whole text. Repeated rows give repeated
-results; extra columns are ignored; an empty table gives an empty result.
+``://`` as far as host and path go, while pattern rules still see the whole text. Of path
+rules that fit, the longest host and path wins, and of pattern rules an exception wins over any block; a null id is kept;
+URLs of any length are read whole; repeated rows give repeated results; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
