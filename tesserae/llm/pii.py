@@ -43,8 +43,8 @@ KINDS = (*BASE, "secret")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Window and step of the model, in characters; length of a training window.
 WINDOW, STEP, LESSON = 256, 216, 96
-#: Characters whose emissions are held at once, and windows that run together.
-SLAB, AT_ONCE = 1 << 18, 2048
+#: Characters whose emissions are held at once, and windows that run together (their states fit in a core's cache).
+SLAB, AT_ONCE = 1 << 18, 320
 #: Texts that serve as carriers in training, and characters taken of each. They are material to write labelled
 #: spans into, not labelled rows: the labels come from the generator, so more of them teach nothing new.
 CARRIERS, CARRIER_CHARS = 400, 600
@@ -130,22 +130,12 @@ def char_ids(text: str) -> np.ndarray:
 
 
 def softsign(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """It stands for tanh, and half of one more than it for the logistic function: three passes, no power series."""
     np.abs(x, out=out)
     out += 1
     return np.divide(x, out, out=out)
 
 
-def gated(z: np.ndarray, h: int, out: np.ndarray) -> np.ndarray:
-    """Gate activations: in, forget and out gates between 0 and 1, the candidate between -1 and 1.
-
-    Softsign stands for both the logistic function and tanh: three passes over an array instead of a power series.
-    """
-    softsign(z, out)
-    out[..., : 3 * h] *= 0.5
-    out[..., : 3 * h] += 0.5
-    return out
-
-
 @dataclass
 class Tagger:
     """Character table and recurrence of an LSTM in each direction (gates i, f, o, g), emission layer and CRF."""
@@ -168,22 +158,33 @@ class Tagger:
         x, r = self.p["X"], self.p["R"]
         n, steps = ids.shape
         h = r.shape[1]
-        both = np.stack([ids.T, ids.T[::-1]])
+        both = np.stack([ids.T, ids.T[::-1]]).astype(np.intp)
         hs = np.zeros((2, steps + 1, n, h), np.float32)
         cs = np.zeros((2, steps + 1, n, h), np.float32) if keep else None
         gates = np.empty((2, steps, n, 4 * h), np.float32) if keep else None
         c, bent = np.zeros((2, n, h), np.float32), np.empty((2, n, h), np.float32)
-        z, open_ = np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 4 * h), np.float32)
+        z, signs, own = (np.empty((2, n, 4 * h), np.float32) for _ in range(3))
+        i, f, o, g = (signs[..., q * h : (q + 1) * h] for q in range(4))  # gates are (1 + sign) / 2
+        x = np.ascontiguousarray(x, dtype=np.float32)
         for t in range(steps):
             np.matmul(hs[:, t], r, out=z)
-            z[0] += x[0].take(both[0, t], axis=0)
-            z[1] += x[1].take(both[1, t], axis=0)
-            gated(z, h, open_)
-            c *= open_[..., h : 2 * h]
-            c += np.multiply(open_[..., :h], open_[..., 3 * h :], out=bent)
-            np.multiply(open_[..., 2 * h : 3 * h], softsign(c, bent), out=hs[:, t + 1])
+            for d in (0, 1):
+                np.take(x[d], both[d, t], axis=0, out=own[d], mode="clip")
+            z += own
+            softsign(z, signs)
+            c += np.multiply(f, c, out=bent)
+            c += np.multiply(i, g, out=bent)
+            c += g
+            c *= 0.5
+            softsign(c, bent)
+            after = hs[:, t + 1]
+            np.multiply(o, bent, out=after)
+            after += bent
+            after *= 0.5
             if keep:
-                cs[:, t + 1], gates[:, t] = c, open_
+                cs[:, t + 1], gates[:, t] = c, signs
+        if keep:
+            gates[..., : 3 * h] = 0.5 + 0.5 * gates[..., : 3 * h]
         return (hs, cs, gates, both) if keep else hs
 
     def emissions(self, hs: np.ndarray) -> np.ndarray:
@@ -425,8 +426,9 @@ def labelled_windows(carriers: list[str], n: int = 3000, seed: int = 3) -> tuple
 
 # Finding.
 
-#: Weight of a window's emission by distance to its edges.
-WEIGHT = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
+#: Characters that two windows share, and the weight of the later one there; the earlier one has the rest.
+OVERLAP = WINDOW - STEP
+RISING = ((np.arange(OVERLAP) + 1) / (OVERLAP + 1)).astype(np.float32)[:, None]
 
 
 def merged_emissions(model: Tagger, jobs: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
@@ -436,28 +438,27 @@ def merged_emissions(model: Tagger, jobs: list[tuple[np.ndarray, int, int]]) ->
     depend neither on the job nor on other texts.
     """
     out = [np.zeros((b - a, len(TAGS)), np.float32) for _, a, b in jobs]
-    weight = [np.zeros((b - a, 1), np.float32) for _, a, b in jobs]
-    where = []
+    windows: list[tuple[int, int, int, bool]] = []
     for k, (codes, a, b) in enumerate(jobs):
         last = max(0, -(-(len(codes) - WINDOW) // STEP)) * STEP
         first = max(0, -(-(a - WINDOW + 1) // STEP)) * STEP
-        where += [(k, s) for s in range(first, min(last, b - 1) + 1, STEP)]
-    for lo in range(0, len(where), AT_ONCE):
-        part = where[lo : lo + AT_ONCE]
+        windows += [(k, s, min(WINDOW, len(codes) - s), s < last) for s in range(first, min(last, b - 1) + 1, STEP)]
+    for lo in range(0, len(windows), AT_ONCE):
+        part = windows[lo : lo + AT_ONCE]
         ids = np.zeros((len(part), WINDOW), np.uint8)
-        for j, (k, s) in enumerate(part):
-            own = jobs[k][0][s : s + WINDOW]
-            ids[j, : len(own)] = own
+        for j, (k, s, n, _) in enumerate(part):
+            ids[j, :n] = jobs[k][0][s : s + n]
         em = model.emissions(model.states(ids))
-        for j, (k, s) in enumerate(part):
-            codes, a, b = jobs[k]
-            x, y = max(s, a), min(s + WINDOW, b, len(codes))
+        for j, (k, s, n, goes_on) in enumerate(part):
+            _, a, b = jobs[k]
+            own = em[:n, j]
+            if s:
+                own[:OVERLAP] *= RISING
+            if goes_on:
+                own[STEP:] *= 1 - RISING
+            x, y = max(s, a), min(s + n, b)
             if x < y:
-                w = WEIGHT[x - s : y - s, None]
-                out[k][x - a : y - a] += em[x - s : y - s, j] * w
-                weight[k][x - a : y - a] += w
-    for x, w in zip(out, weight, strict=True):
-        x /= w
+                out[k][x - a : y - a] += own[x - s : y - s]
     return out
 
 
