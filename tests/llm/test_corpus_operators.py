@@ -303,8 +303,20 @@ def test_stages_stand_odd_rows(spark):
             docs.collect()
 
 
+def test_pieces_are_numbered_in_their_partition(spark):
+    """Within a class and a partition the numbers are 0, 1, ...; whole sequences are a class of their own."""
+    import public_tokenizers
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    rows = packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2, 256, 8, "doc_id", "text").collect()
+    held: dict = {}
+    for r in rows:
+        assert r["class"] == (0 if r.length == 256 else -(-r.length // 8))
+        held.setdefault((r["class"], r.part), []).append(r["at"])
+    assert len({part for _, part in held}) == 3 and all(sorted(v) == list(range(len(v))) for v in held.values())
+
+
 def test_every_operator_is_registered():
     names = sorted(llm_queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "pii", "packing"]
-    assert packing.BUCKETS == 1024
