@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,9 @@ KINDS = (*BASE, "secret")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Window and step of the model, in characters; length of a training window.
 WINDOW, STEP, LESSON = 256, 216, 96
-#: Characters whose emissions are held at once, and windows that run together (their states fit in a core's cache).
-SLAB, AT_ONCE = 1 << 18, 320
+#: Characters whose emissions are held at once, windows that run together (their states fit in a core's cache), and steps
+#: whose emissions are laid out together.
+SLAB, AT_ONCE, BLOCK = 1 << 20, 640, 16
 #: Texts that serve as carriers in training, and characters taken of each. They are material to write labelled
 #: spans into, not labelled rows: the labels come from the generator, so more of them teach nothing new.
 CARRIERS, CARRIER_CHARS = 400, 600
@@ -129,11 +130,11 @@ def char_ids(text: str) -> np.ndarray:
     return classes()[np.minimum(points, (1 << 16) - 1)]
 
 
-def softsign(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+def softsign(x: np.ndarray, room: np.ndarray, out: np.ndarray) -> np.ndarray:
     """It stands for tanh, and half of one more than it for the logistic function: three passes, no power series."""
-    np.abs(x, out=out)
-    out += 1
-    return np.divide(x, out, out=out)
+    np.abs(x, out=room)
+    room += 1
+    return np.divide(x, room, out=out)
 
 
 @dataclass
@@ -171,12 +172,12 @@ class Tagger:
             for d in (0, 1):
                 np.take(x[d], both[d, t], axis=0, out=own[d], mode="clip")
             z += own
-            softsign(z, signs)
+            softsign(z, signs, signs)
             c += np.multiply(f, c, out=bent)
             c += np.multiply(i, g, out=bent)
             c += g
             c *= 0.5
-            softsign(c, bent)
+            softsign(c, bent, bent)
             after = hs[:, t + 1]
             np.multiply(o, bent, out=after)
             after += bent
@@ -187,6 +188,69 @@ class Tagger:
             gates[..., : 3 * h] = 0.5 + 0.5 * gates[..., : 3 * h]
         return (hs, cs, gates, both) if keep else hs
 
+    def read(self, windows: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Emissions (time, tags) of every window, without ``v``. The windows are codes, in falling order of length.
+
+        What ``states`` and ``emissions`` compute of windows padded to ``WINDOW``, without reading the padding: a window that
+        has come to its end leaves the batch, and the other direction begins in the state that the padding leaves behind.
+        Hidden states are not kept; emissions go to the windows ``BLOCK`` steps at a time.
+        """
+        n, steps, k = len(windows), len(windows[0]), self.p["V"].shape[1]
+        h = len(self.p["V"]) // 2
+        # By gate and direction, so that each gate's values lie together; rows of the character table one below another.
+        r = np.ascontiguousarray(self.p["R"].reshape(2, h, 4, h).transpose(2, 0, 1, 3)) / 2
+        x = np.ascontiguousarray(self.p["X"].reshape(2, N_CHARS, 4, h).transpose(2, 0, 1, 3), dtype=np.float32).reshape(-1, h)
+        base = np.arange(0, len(x), N_CHARS).reshape(4, 2, 1)
+        v = self.p["V"].reshape(2, h, k) / 2  # as R: states are held doubled
+        ids = np.zeros((2, n, steps), np.uint8)
+        for j, w in enumerate(windows):
+            ids[0, j, : len(w)], ids[1, j, : len(w)] = w, w[::-1]
+        ids = np.ascontiguousarray(ids.transpose(2, 0, 1))
+        live = np.searchsorted([-len(w) for w in windows], -np.arange(steps)).tolist()
+        row = np.dtype((np.void, 4 * k))
+        out, block = np.empty((2, n, steps, k), np.float32), np.empty((2, BLOCK, n, k), np.float32)
+        out_rows, block_rows = out.view(row)[..., 0], block.view(row)[..., 0].transpose(0, 2, 1)
+        m = n
+        z = np.zeros((5, 2, n, h), np.float32)  # gates i, f, o, g, and the cell
+        own, at = np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n), np.intp)
+        bent, after = np.empty((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        behind = [WINDOW - len(w) for w in windows]
+        after[1], z[4, 1] = 2 * self.padding[0][behind], self.padding[1][behind]
+        for t in range(steps):
+            if t % BLOCK == 0:
+                codes = ids[t : t + BLOCK].astype(np.intp)
+            if live[t] != m:
+                m = live[t]
+                z, bent, after = z[:, :, :m], bent[:, :m], after[:, :m]
+                own, at = np.empty((4, 2, m, h), np.float32), np.empty((4, 2, m), np.intp)
+            np.matmul(after, r, out=z[:4])
+            np.add(base, codes[t % BLOCK, :, :m], out=at)
+            np.take(x, at, axis=0, out=own, mode="clip")
+            z[:4] += own
+            softsign(z[:4], own, z[:4])
+            z[:3] += 1  # twice the logistic function's stand-in
+            z[:2] *= z[3:]
+            c = np.add(z[0], z[1], out=z[4])
+            c *= 0.5
+            softsign(c, bent, bent)
+            np.multiply(z[2], bent, out=after)
+            np.matmul(after, v, out=block[:, t % BLOCK, :m])
+            if t % BLOCK == BLOCK - 1 or t == steps - 1:
+                a = t - t % BLOCK
+                most, done = live[a], block_rows[..., : t + 1 - a]
+                out_rows[0, :most, a : t + 1] = done[0, :most]
+                out_rows[1, :most, steps - 1 - t : steps - a] = done[1, :most, ::-1]
+        for j, w in enumerate(windows):
+            em = out[0, j, : len(w)]
+            em += out[1, j, steps - len(w) :]
+            yield em
+
+    @cached_property
+    def padding(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden state and cell of the direction from the end, after each number of padding characters."""
+        hs, cs, *_ = self.states(np.zeros((1, WINDOW), np.uint8), keep=True)
+        return hs[1, :, 0], cs[1, :, 0]
+
     def emissions(self, hs: np.ndarray) -> np.ndarray:
         """time, batch, tags."""
         h = hs.shape[3]
@@ -231,7 +295,7 @@ class Tagger:
         back = self.p["R"].transpose(0, 2, 1)
         for t in range(steps - 1, -1, -1):
             i, f, o, c = (gates[:, t, :, q * h : (q + 1) * h] for q in range(4))
-            th = softsign(cs[:, t + 1], th)
+            th = softsign(cs[:, t + 1], th, th)
             dh = dh + d_hs[:, t]
             dc = dc + dh * o * (1 - np.abs(th)) ** 2
             dz[:, t, :, :h] = dc * c * slope(i)
@@ -246,39 +310,75 @@ class Tagger:
         g["X"] = np.matmul(hot.transpose(0, 2, 1), flat)
         return float((z - gold).mean()), g
 
-    def gain(self, em: np.ndarray, first: bool, last: bool) -> np.ndarray:
-        """The most that each position (rows of emissions) can add to a path that is not O there: rows of ``open_stretches``.
+    def ways(self) -> dict[str, np.ndarray]:
+        """What transitions add to a tag's emission over being O, for a position that is the first of a span, inside, last or alone.
 
-        ``first`` and ``last``: the text begins and ends here.
+        At the first character of a text, a span is begun or alone by ``S``. A first position has a begin tag, every second one.
         """
         tr = self.p["T"].astype(np.float64) + LEGAL
         stay, out, start = tr[0, 0], tr[1:, 0] - tr[0, 0], self.p["S"][1:] - self.p["S"][0] + LEGAL[0, 1:]
         enter, inside = tr[0, 1:] - stay, tr[1:, 1:].max(axis=0) - stay
+        found = {"enter": enter[::2], "inside": inside, "leave": inside + out, "alone": (enter + out)[::2]}
+        found |= {"start": start, "start alone": start + out, "end alone": enter}
+        return {n: x.astype(np.float32)[:, None] for n, x in found.items()}
+
+    def gain(self, em: np.ndarray, first: bool, last: bool, ways: dict[str, np.ndarray]) -> np.ndarray:
+        """The most that each position (rows of emissions) can add to a path that is not O there: rows of ``open_stretches``.
+
+        ``first`` and ``last``: the text begins and ends here. ``ways`` are the model's.
+        """
         by_tag = np.ascontiguousarray(em.T, dtype=np.float32)
         more = by_tag[1:] - by_tag[0]
-        ways = (enter, inside, inside + out, enter + out)
-        found = np.stack([(more + x.astype(np.float32)[:, None]).max(axis=0) for x in ways])
+        begin, room = more[::2], np.empty_like(more)
+        found = np.empty((4, len(em)), np.float32)
+        for x, tags, row in zip(("enter", "inside", "leave", "alone"), (begin, more, more, begin), found, strict=True):
+            np.add(tags, ways[x], out=room[: len(tags)]).max(axis=0, out=row)
+        most = lambda at, way: (more[:, [at]] + ways[way]).max()
         if first:
-            found[0, 0], found[3, 0] = (more[:, 0] + start).max(), (more[:, 0] + start + out).max()
+            found[0, 0], found[3, 0] = most(0, "start"), most(0, "start alone")
         if last:
-            found[2, -1], found[3, -1] = (more[:, -1] + inside).max(), (more[:, -1] + enter).max()
+            found[2, -1], found[3, -1] = most(-1, "inside"), most(-1, "end alone")
         if first and last and len(em) == 1:
-            found[3, 0] = (more[:, 0] + start).max()
+            found[3, 0] = most(0, "start")
         return found
 
     def decode(self, em: np.ndarray, first: bool = True, last: bool = True) -> list[int]:
         """Best tag path for emissions (time, tags). Not ``first`` or not ``last``: the text goes on there, outside."""
+        return self.decode_all([(em, first, last)])[0]
+
+    def decode_all(self, parts: list[tuple[np.ndarray, bool, bool]]) -> list[list[int]]:
+        """``decode`` of many, in step: in falling order of length, those that have come to their end leave."""
+        order = sorted(range(len(parts)), key=lambda j: -len(parts[j][0]))
+        ems, firsts, lasts = zip(*(parts[j] for j in order), strict=True)
+        lengths = np.asarray([len(em) for em in ems])
+        live = np.searchsorted(-lengths, -np.arange(lengths[0])).tolist()
+        at = np.concatenate([[0], np.cumsum(live)])
+        flat = np.empty((at[-1], len(TAGS)), ems[0].dtype)  # by time, then by stretch
+        for j, em in enumerate(ems):
+            flat[at[: len(em)] + j] = em
         tr = self.p["T"] + LEGAL
-        score = em[0] + (self.p["S"] + LEGAL[0] if first else tr[0])
-        back = np.empty(em.shape, dtype=np.int64)
-        for t in range(1, len(em)):
-            s = score[:, None] + tr
-            back[t] = s.argmax(axis=0)
-            score = s.max(axis=0) + em[t]
-        path = [int((score if last else score + tr[:, 0]).argmax())]
-        for t in range(len(em) - 1, 0, -1):
-            path.append(int(back[t][path[-1]]))
-        return path[::-1]
+        to_from = np.ascontiguousarray(tr.T)
+        score = flat[: live[0]] + np.where(np.asarray(firsts)[:, None], self.p["S"] + LEGAL[0], tr[0])
+        leave = np.where(np.asarray(lasts)[:, None], 0, tr[:, 0])
+        back = np.empty(flat.shape, np.uint8)
+        end = np.empty(len(ems), np.uint8)
+        for t in range(len(live)):
+            if t:
+                s = score[: live[t], None] + to_from
+                back[at[t] : at[t + 1]] = s.argmax(axis=2)
+                score = s.max(axis=2) + flat[at[t] : at[t + 1]]
+            done = slice(live[t + 1] if t + 1 < len(live) else 0, live[t])
+            end[done] = (score[done] + leave[done]).argmax(axis=1)
+        path, tag = np.empty(at[-1], np.uint8), end.copy()
+        for t in range(len(live) - 1, -1, -1):
+            m = live[t]
+            path[at[t] : at[t + 1]] = tag[:m]
+            if t:
+                tag[:m] = back[np.arange(at[t], at[t + 1]), tag[:m]]
+        found: list[list[int]] = [[] for _ in parts]
+        for j, k in enumerate(order):
+            found[k] = path[at[: lengths[j]] + j].tolist()
+        return found
 
 
 #: An inside tag only follows a begin or inside tag of its kind.
@@ -434,24 +534,21 @@ RISING = ((np.arange(OVERLAP) + 1) / (OVERLAP + 1)).astype(np.float32)[:, None]
 def merged_emissions(model: Tagger, jobs: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
     """Emissions of each job's characters (all codes of its text, from, to), from all windows that cover them.
 
-    Windows begin at multiples of STEP of the whole text and are padded to their full length, so a character's emissions
-    depend neither on the job nor on other texts.
+    Windows begin at multiples of STEP of the whole text and count as padded to their full length, so a character's emissions
+    depend neither on the job nor on other texts. Windows of like lengths run together.
     """
-    out = [np.zeros((b - a, len(TAGS)), np.float32) for _, a, b in jobs]
+    out = [np.tile(model.p["v"], (b - a, 1)) for _, a, b in jobs]
     windows: list[tuple[int, int, int, bool]] = []
     for k, (codes, a, b) in enumerate(jobs):
         last = max(0, -(-(len(codes) - WINDOW) // STEP)) * STEP
         first = max(0, -(-(a - WINDOW + 1) // STEP)) * STEP
         windows += [(k, s, min(WINDOW, len(codes) - s), s < last) for s in range(first, min(last, b - 1) + 1, STEP)]
+    windows.sort(key=lambda w: -w[2])
     for lo in range(0, len(windows), AT_ONCE):
         part = windows[lo : lo + AT_ONCE]
-        ids = np.zeros((len(part), WINDOW), np.uint8)
-        for j, (k, s, n, _) in enumerate(part):
-            ids[j, :n] = jobs[k][0][s : s + n]
-        em = model.emissions(model.states(ids))
-        for j, (k, s, n, goes_on) in enumerate(part):
+        read = model.read([jobs[k][0][s : s + n] for k, s, n, _ in part])
+        for (k, s, n, goes_on), own in zip(part, read, strict=True):
             _, a, b = jobs[k]
-            own = em[:n, j]
             if s:
                 own[:OVERLAP] *= RISING
             if goes_on:
@@ -512,24 +609,27 @@ def added_spans(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, in
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     jobs = [(i, c, a, min(a + SLAB, len(c))) for i, c in enumerate(codes) for a in range(0, len(c), SLAB)]
     gains: dict[int, list[np.ndarray]] = {}  # of texts longer than a slab
+    ways = model.ways()
 
-    def decoded(i: int, a: int, em: np.ndarray) -> None:
-        path = model.decode(em, a == 0, a + len(em) == len(codes[i]))
-        found[i] += tag_spans(path, a)
+    def decoded(stretches: list[tuple[int, int, np.ndarray]]) -> None:
+        parts = [(em, a == 0, a + len(em) == len(codes[i])) for i, a, em in stretches]
+        for (i, a, _), path in zip(stretches, model.decode_all(parts) if parts else (), strict=True):
+            found[i] += tag_spans(path, a)
 
     for group in grouped(jobs, SLAB):
+        stretches = []
         for (i, c, x, y), em in zip(group, merged_emissions(model, [j[1:] for j in group]), strict=True):
-            gain = model.gain(em, x == 0, y == len(c))
+            gain = model.gain(em, x == 0, y == len(c), ways)
             if len(c) > SLAB:
                 gains.setdefault(i, []).append(gain)
-                continue
-            for a, b in open_stretches(gain):
-                decoded(i, a, em[a:b])
+            else:
+                stretches += [(i, a, em[a:b]) for a, b in open_stretches(gain)]
+        decoded(stretches)
     for i, parts in gains.items():
         again = [(i, codes[i], a, b) for a, b in open_stretches(np.concatenate(parts, axis=1))]
         for group in grouped(again, SLAB):
-            for (_, _, a, _), em in zip(group, merged_emissions(model, [j[1:] for j in group]), strict=True):
-                decoded(i, a, em)
+            ems = merged_emissions(model, [j[1:] for j in group])
+            decoded([(i, a, em) for (_, _, a, _), em in zip(group, ems, strict=True)])
     return found
 
 

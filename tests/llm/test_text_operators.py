@@ -493,6 +493,37 @@ def test_decoding_by_stretches_is_decoding_of_the_whole(tagger, monkeypatch):
         monkeypatch.undo()
 
 
+def test_windows_are_read_without_their_padding(tagger, monkeypatch):
+    """The same emissions as from windows padded to full length, from no more steps than the windows have characters."""
+    rng = np.random.default_rng(9)
+    codes = [rng.integers(1, pii.N_CHARS, n).astype(np.uint8) for n in (1, 2, 15, 16, 17, 100, 255, 256, 257, 471, 472, 473, 1500)]
+    read, whole = [], pii.Tagger.read
+    monkeypatch.setattr(pii.Tagger, "read", lambda m, ws: read.extend(map(len, ws)) or whole(m, ws))
+    found = pii.merged_emissions(tagger, [(c, 0, len(c)) for c in codes])
+    windows = [max(1, -(-(len(c) - pii.WINDOW) // pii.STEP) + 1) for c in codes]
+    assert sum(read) == sum(len(c) + pii.OVERLAP * (n - 1) for c, n in zip(codes, windows, strict=True))
+    for c, em in zip(codes, found, strict=True):
+        total, weight = np.zeros((len(c), len(pii.TAGS))), np.zeros((len(c), 1))
+        starts = range(0, max(1, len(c) - pii.OVERLAP), pii.STEP)
+        for s in starts:
+            part = c[s : s + pii.WINDOW]
+            own = tagger.emissions(tagger.states(np.pad(part, (0, pii.WINDOW - len(part)))[None]))[: len(part), 0]
+            w = np.ones((len(part), 1))
+            if s:
+                w[: pii.OVERLAP] = pii.RISING
+            if s < starts[-1]:
+                w[pii.STEP :] = 1 - pii.RISING
+            total[s : s + len(part)] += w * own
+            weight[s : s + len(part)] += w
+        assert np.allclose(weight, 1) and np.allclose(em, total, atol=1e-3)
+
+
+def test_decoding_together_is_decoding_alone(tagger):
+    rng = np.random.default_rng(10)
+    parts = [(rng.normal(0, 3, (n, len(pii.TAGS))).astype(np.float32), n % 2 == 0, n % 3 == 0) for n in (1, 5, 1, 40, 7, 2, 40, 3, 12)]
+    assert tagger.decode_all(parts) == [tagger.decode(*p) for p in parts]
+
+
 def test_model_adds_what_patterns_do_not_hold(tagger):
     text = 'write to ann.lee at mail dot example dot org now. token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and more words'
     far = "plain words of some text that goes on for quite a while " * 400
