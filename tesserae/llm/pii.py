@@ -352,32 +352,32 @@ class Tagger:
         ems, firsts, lasts = zip(*(parts[j] for j in order), strict=True)
         lengths = np.asarray([len(em) for em in ems])
         live = np.searchsorted(-lengths, -np.arange(lengths[0])).tolist()
-        at = np.concatenate([[0], np.cumsum(live)])
-        flat = np.empty((at[-1], len(TAGS)), ems[0].dtype)  # by time, then by stretch
+        starts = np.concatenate([[0], np.cumsum(live)])
+        flat = np.empty((starts[-1], len(TAGS)), ems[0].dtype)  # by time, then by stretch
         for j, em in enumerate(ems):
-            flat[at[: len(em)] + j] = em
+            flat[starts[: len(em)] + j] = em
+        at, live = starts.tolist(), [*live, 0]
         tr = self.p["T"] + LEGAL
-        to_from = np.ascontiguousarray(tr.T)
-        score = flat[: live[0]] + np.where(np.asarray(firsts)[:, None], self.p["S"] + LEGAL[0], tr[0])
         leave = np.where(np.asarray(lasts)[:, None], 0, tr[:, 0])
+        score = flat[: live[0]] + np.where(np.asarray(firsts)[:, None], self.p["S"] + LEGAL[0], tr[0])
         back = np.empty(flat.shape, np.uint8)
-        end = np.empty(len(ems), np.uint8)
-        for t in range(len(live)):
-            if t:
-                s = score[: live[t], None] + to_from
-                back[at[t] : at[t + 1]] = s.argmax(axis=2)
-                score = s.max(axis=2) + flat[at[t] : at[t + 1]]
-            done = slice(live[t + 1] if t + 1 < len(live) else 0, live[t])
-            end[done] = (score[done] + leave[done]).argmax(axis=1)
-        path, tag = np.empty(at[-1], np.uint8), end.copy()
-        for t in range(len(live) - 1, -1, -1):
-            m = live[t]
-            path[at[t] : at[t + 1]] = tag[:m]
+        path = np.empty(len(flat), np.uint8)
+        for t in range(lengths[0]):
             if t:
-                tag[:m] = back[np.arange(at[t], at[t + 1]), tag[:m]]
+                s = score[: live[t], :, None] + tr
+                back[at[t] : at[t + 1]] = s.argmax(axis=1)
+                score = s.max(axis=1)
+                score += flat[at[t] : at[t + 1]]
+            m = live[t + 1]
+            if m < live[t]:
+                path[at[t] + m : at[t + 1]] = (score[m:] + leave[m : live[t]]).argmax(axis=1)
+        rows = np.arange(len(ems))
+        for t in range(lengths[0] - 1, 0, -1):
+            tag = path[at[t] : at[t + 1]]
+            path[at[t - 1] : at[t - 1] + live[t]] = back[at[t] : at[t + 1]][rows[: live[t]], tag]
         found: list[list[int]] = [[] for _ in parts]
         for j, k in enumerate(order):
-            found[k] = path[at[: lengths[j]] + j].tolist()
+            found[k] = path[starts[: lengths[j]] + j].tolist()
         return found
 
 
