@@ -13,6 +13,29 @@ def small_side(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(most + 1).take(most + 1)) <= most else df
 
 
+#: Rows that one task of a large shuffle holds, about.
+PART = 500_000
+
+
+def parts(df: DataFrame, rows: int) -> int | None:
+    """How many parts a shuffle of ``rows`` rows needs, so that no task grows with the input; None where one is enough."""
+    return max(-(-rows // PART), df.sparkSession.sparkContext.defaultParallelism) if rows > PART else None
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """The table dealt to ``n`` parts by its keys; as it is, for Spark to plan, if that is None."""
+    return df if n is None else df.repartition(n, *keys)
+
+
+def grid_rows(df: DataFrame, prefix: str, cell: float, reach: float = 0.0, axes: str = "xyz") -> int:
+    """The number of rows of ``grid_cells``, which the planner takes for that of boxes."""
+    n = F.lit(1)
+    for k in axes:
+        low = F.floor((F.col(f"{prefix}l{k}") - reach) / cell)
+        n = n * (F.abs(F.floor((F.col(f"{prefix}h{k}") + reach) / cell) - low) + 1)
+    return df.agg(F.sum(n)).first()[0] or 0
+
+
 def grid_cells(df: DataFrame, prefix: str, cell: float, reach: float = 0.0, axes: str = "xyz") -> DataFrame:
     """A row for each grid cell that the box, grown by ``reach``, touches: columns cell_<axis>."""
     for k in axes:
@@ -29,7 +52,10 @@ def grid_pairs(left: DataFrame, right: DataFrame, cell: float, reach: float, by:
     pair that shares several cells is kept in the one where its overlap begins.
     """
     cells = [f"cell_{k}" for k in axes]
+    n = parts(left, grid_rows(left, "a_", cell, reach, axes))
     a, b = grid_cells(left, "a_", cell, reach, axes), grid_cells(right, "b_", cell, 0.0, axes)
+    if n is not None:  # the planner would broadcast a whole side, which it takes for as small as before the grid
+        a, b = dealt(a, n, *by, *cells), dealt(b, n, *by, *cells).hint("shuffle_hash")
     met = a.join(b, [*by, *cells])
     for k in axes:
         start = F.floor(F.greatest(F.col(f"a_l{k}") - reach, F.col(f"b_l{k}")) / cell)
