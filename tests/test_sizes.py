@@ -3,7 +3,7 @@
 import random
 
 from tesserae.functions import plan
-from tesserae.operators import spatial
+from tesserae.operators import masks, refine, spatial, views
 
 
 def test_grid_of_many_boxes_is_shuffled_in_parts_that_grow_with_it(spark, monkeypatch):
@@ -21,3 +21,37 @@ def test_grid_of_many_boxes_is_shuffled_in_parts_that_grow_with_it(spark, monkey
     assert found.rdd.getNumPartitions() > 10
     got = [(r.a, r.b) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def _runs(spark, rng, n=400):
+    rows = [(f % 2, f % 3, rng.randrange(4), s, s + rng.randrange(1, 30)) for f, s in ((rng.randrange(6), rng.randrange(12) * 20) for _ in range(n))]
+    pixels = {}
+    for run, frame, mask, s, e in rows:
+        pixels.setdefault((run, frame, mask), set()).update(range(s, e))
+    return spark.createDataFrame(rows * 2, "run long, frame long, mask long, s long, e long"), pixels
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_masks_are_dealt_to_parts_that_grow_with_them(spark, monkeypatch):
+    runs, pixels = _runs(spark, random.Random(2))
+    monkeypatch.setattr(plan, "PART", 50)
+    whole = masks.union(runs, ["run", "frame", "mask"])
+    assert whole.rdd.getNumPartitions() == 16
+    got = {}
+    for r in whole.collect():
+        held = got.setdefault((r.run, r.frame, r.mask), set())
+        assert not held & set(range(r.s - 1, r.e + 1))
+        held.update(range(r.s, r.e))
+    assert got == pixels
+
+
+def test_pairs_of_large_masks_carry_their_areas(spark, monkeypatch):
+    runs, pixels = _runs(spark, random.Random(3))
+    monkeypatch.setattr(plan, "PART", 50)
+    found = masks.pairs(runs, ["run", "frame"])
+    assert _plan(found).count("Join") == 1  # areas go along with the intervals
+    want = {(*x[:2], x[2], y[2]): (len(p & q), len(p), len(q)) for x, p in pixels.items() for y, q in pixels.items() if x[:2] == y[:2] and x[2] < y[2] and p & q}
+    assert {(r.run, r.frame, r.a, r.b): (r.shared, r.area_a, r.area_b) for r in found.collect()} == want
