@@ -18,13 +18,19 @@ def panel_layout(runs: DataFrame, height: int, by: list[str]) -> DataFrame:
     centroid, the upper left one on ties; distances are whole numbers, so they are exact.
     """
     key = [*by, "mask"]
-    whole = mask_ops.union(runs, key)
-    pixel = F.explode(F.sequence("s", F.col("e") - 1)).alias("p")
-    cells = whole.select(*key, pixel).select(*key, F.floor(F.col("p") / height).alias("x"), (F.col("p") % height).alias("y"))
-    sums = cells.groupBy(*key).agg(F.count("*").alias("area"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    whole = mask_ops.union(runs, key).where(F.col("e") > F.col("s"))
+    column = F.explode(F.sequence(F.floor(F.col("s") / height), F.floor((F.col("e") - 1) / height))).alias("x")
+    top, end = F.greatest(F.col("s") - F.col("x") * height, F.lit(0)), F.least(F.col("e") - F.col("x") * height, F.lit(height))
+    pieces = whole.select(*key, "s", "e", column).select(*key, "x", top.alias("y0"), (end - 1).alias("y1"))
+    n, of_mask = F.col("y1") - F.col("y0") + 1, Window.partitionBy(*key)
+    pieces = pieces.withColumn("area", F.sum(n).over(of_mask)).withColumn("sx", F.sum(n * F.col("x")).over(of_mask))
+    pieces = pieces.withColumn("sy", F.sum(F.expr("(y0 + y1) * (y1 - y0 + 1) div 2")).over(of_mask))
+    # in a column, the row nearest to the centroid: the upper one of two that are as near, then moved into the piece
+    row = F.expr("sy div area + if(2 * (sy % area) > area, 1, 0)")
+    pieces = pieces.withColumn("y", F.greatest("y0", F.least("y1", row)))
     off = lambda c, s: F.col("area") * F.col(c) - F.col(s)
     away = off("x", "sx") * off("x", "sx") + off("y", "sy") * off("y", "sy")
-    spots = cells.join(sums, key).groupBy(*key).agg(F.min(F.struct(away.alias("d"), "y", "x")).alias("at"), F.first("area").alias("area"))
+    spots = pieces.groupBy(*key).agg(F.min(F.struct(away.alias("d"), "y", "x")).alias("at"), F.first("area").alias("area"))
     order = Window.partitionBy(*by).orderBy(F.col("area").desc(), "mask")
     return spots.select(*key, F.row_number().over(order).alias("place"), "area", "at.x", "at.y")
 

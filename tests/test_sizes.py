@@ -55,3 +55,16 @@ def test_pairs_of_large_masks_carry_their_areas(spark, monkeypatch):
     assert _plan(found).count("Join") == 1  # areas go along with the intervals
     want = {(*x[:2], x[2], y[2]): (len(p & q), len(p), len(q)) for x, p in pixels.items() for y, q in pixels.items() if x[:2] == y[:2] and x[2] < y[2] and p & q}
     assert {(r.run, r.frame, r.a, r.b): (r.shared, r.area_a, r.area_b) for r in found.collect()} == want
+
+
+def test_label_places_come_from_intervals_not_from_pixels(spark):
+    runs, pixels = _runs(spark, random.Random(4), 60)
+    found = views.panel_layout(runs, 7, ["run", "frame"])
+    assert "Join" not in _plan(found)
+    got = {(r.run, r.frame, r.mask): (r.area, r.x, r.y) for r in found.collect()}
+    want = {}
+    for key, held in pixels.items():
+        n, sx, sy = len(held), sum(p // 7 for p in held), sum(p % 7 for p in held)
+        _, y, x = min(((n * (p // 7) - sx) ** 2 + (n * (p % 7) - sy) ** 2, p % 7, p // 7) for p in held)
+        want[key] = (n, x, y)
+    assert got == want
