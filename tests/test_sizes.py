@@ -68,3 +68,16 @@ def test_label_places_come_from_intervals_not_from_pixels(spark):
         _, y, x = min(((n * (p // 7) - sx) ** 2 + (n * (p % 7) - sy) ** 2, p % 7, p // 7) for p in held)
         want[key] = (n, x, y)
     assert got == want
+
+
+def test_frames_are_grouped_in_batches(spark, monkeypatch):
+    rng = random.Random(5)
+    score = {f: {m: rng.randrange(20) / 4 for m in range(rng.randrange(1, 7))} for f in range(40)}
+    iou = {f: {(a, b): rng.random() for a in of for b in of if a < b and rng.random() < 0.7} for f, of in score.items() if f % 5}
+    rows = spark.createDataFrame([(0, f, m, v) for f, of in score.items() for m, v in of.items()], "run int, frame int, mask int, score double")
+    pairs = spark.createDataFrame([(0, f, a, b, v) for f, of in iou.items() for (a, b), v in of.items()], "run int, frame int, a int, b int, iou double")
+    monkeypatch.setattr(refine, "FRAMES", 3)
+    found = refine.complete_link_groups(rows, pairs, ["run", "frame"], 0.3)
+    assert "FlatMapCoGroups" not in _plan(found)
+    want = {(f, m): g for f, of in score.items() for m, g in refine.complete_link(of, iou.get(f, {}), 0.3).items()}
+    assert {(r.frame, r.mask): r.group for r in found.collect()} == want
